@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralex.llm import exact_dedup, mixing, sharding
+from terralex.llm import bpe, exact_dedup, mixing, secret_scan, sharding, token_counts
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file on the driver; the operators take any path."""
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
 
 
 def _docs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": _docs(sharding.shard_report),
         "op3_exact_dedup": _docs(exact_dedup.dedup_report),
+        "op4_unigram_counts": _docs(lambda docs: token_counts.counted(docs, tokenizer_file("piece_bpe_32k.model"))),
+        "op5_secret_scan": _docs(secret_scan.scanned),
+        "op8_bpe_digests": _docs(lambda docs: bpe.digests(docs, tokenizer_file("byte_bpe_50k.json"))),
         "op10_mix": _docs(mixing.mix_report),
     }
 

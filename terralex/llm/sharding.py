@@ -152,8 +152,8 @@ cells AS (
 ranked AS (SELECT *, row_number() OVER (ORDER BY curve, place, doc_id) - 1 AS rank, count(*) OVER () AS total FROM cells),
 sums AS (
   SELECT doc_id, rank, total, curve, strlen(text) + 1 AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), (i * 2 + 1)::INT, 2))::BIGINT)),
-      lambda c, x: xor(c >> 8, crc_of[xor(c, x) & 255 + 1]))) AS text_crc32
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::BIGINT)),
+      lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1]))) AS text_crc32
   FROM ranked CROSS JOIN tables)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (rank * 8 // total)::INTEGER AS shard,
   (rank - ((rank * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve::INTEGER AS curve
