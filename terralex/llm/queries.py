@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralex.llm import bpe, exact_dedup, mixing, secret_scan, sharding, token_counts
+from terralex.llm import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,7 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": _docs(exact_dedup.dedup_report),
         "op4_unigram_counts": _docs(lambda docs: token_counts.counted(docs, tokenizer_file("piece_bpe_32k.model"))),
         "op5_secret_scan": _docs(secret_scan.scanned),
+        "op6_divergence_rules": _docs(quality_rules.judged),
+        "op7_ftrl_quality": lambda spark, sf_dir: quality_classifier.quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op8_bpe_digests": _docs(lambda docs: bpe.digests(docs, tokenizer_file("byte_bpe_50k.json"))),
+        "op9_license_scan": _docs(license_scan.scanned),
         "op10_mix": _docs(mixing.mix_report),
     }
 
