@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralex.llm import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from terralex.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +26,7 @@ def _docs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": _docs(sharding.shard_report),
+        "op2_near_dedup": _docs(near_dedup.linked),
         "op3_exact_dedup": _docs(exact_dedup.dedup_report),
         "op4_unigram_counts": _docs(lambda docs: token_counts.counted(docs, tokenizer_file("piece_bpe_32k.model"))),
         "op5_secret_scan": _docs(secret_scan.scanned),
