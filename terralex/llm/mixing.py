@@ -46,8 +46,8 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], share: float, max_e
         .withColumn("_filled", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_open", F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
         .withColumn("_level", (F.col("_total") - F.col("_filled")) / F.col("_open"))
-        # the first source whose cap lies above the level that the open sources would have
-        .withColumn("_water", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
+        # the first source whose cap lies above the level that the open sources would have; later levels are lower
+        .withColumn("_water", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
     )
     target = F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_water") * F.col("_weight")))
     return levels.select("skey", "source_size", target.alias("target"))
@@ -124,7 +124,7 @@ levels AS (
     coalesce(sum(cap) OVER (ORDER BY cap / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
     sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_w
   FROM weighted),
-water AS (SELECT *, min(CASE WHEN (total - filled) / open_w <= ratio THEN (total - filled) / open_w END) OVER () AS level FROM levels),
+water AS (SELECT *, max(CASE WHEN (total - filled) / open_w <= ratio THEN (total - filled) / open_w END) OVER () AS level FROM levels),
 targets AS (
   SELECT skey, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM water),
 wholes AS (
