@@ -7,9 +7,11 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 EARTH_M = 6_371_000.0
 METRES_PER_DEGREE = 111_320.0
+LINE = ArrayType(StructType().add("x", DoubleType()).add("y", DoubleType()))
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -119,7 +121,7 @@ def simplified_line(points: list[tuple[float, float]], eps: float) -> list[tuple
 def simplify(line: Column, eps: float) -> Column:
     """Douglas-Peucker over an array of structs (x, y)."""
 
-    @F.arrow_udf("array<struct<x:double,y:double>>")
+    @F.arrow_udf(LINE)
     def run(lines: pa.Array) -> pa.Array:
         out = []
         for line in lines.to_pylist():

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralex.functions import fixed, text
+from terralex.operators.fuzzy import without_close
+
 
 def named(name: Column) -> Column:
     return name.isNotNull() & (F.trim(name) != "")
@@ -58,3 +61,35 @@ def existing(paths: DataFrame, nodes: DataFrame, path: str, pos: str, node: str)
     """(path, nodes): the nodes of each path that exist, in order."""
     held = paths.join(nodes.select(node).distinct(), node, "left_semi")
     return held.groupBy(path).agg(F.array_sort(F.collect_list(F.struct(pos, node))).alias("_n")).select(path, F.col(f"_n.{node}").alias("nodes"))
+
+
+def street_ways(roads: DataFrame, name: str = "name", kind: str = "highway", footway: str = "footway") -> DataFrame:
+    """Rows of roads that make streets: base roads of no excluded class, and cycleways that are streets of their own.
+
+    A cycleway stays if it is listed, or if it is called like a street and no road has its name or one within an edit.
+    """
+    base = roads.where(base_road(F.col(name), F.col(footway)))
+    plain = excluded(F.col(kind), fixed.EXCLUDED_ROADS)
+    streets, others = base.where(plain), base.where(~plain & (F.col(kind) == "cycleway"))
+    own = F.col(name).isin(*fixed.CYCLE_KEEP)
+    looks = F.lit(False)
+    for prefix in fixed.CYCLE_PREFIX:
+        looks = looks | F.startswith(F.col(name), F.lit(prefix))
+    names = streets.select(name).distinct()
+    new = others.where(~own & looks).join(names, name, "left_anti").withColumn("_key", text.key_alnum(F.col(name)))
+    new = without_close(new, names.select(text.key_alnum(F.col(name)).alias("_key")), "_key").select(*roads.columns)
+    return streets.unionByName(others.where(own)).unionByName(new)
+
+
+def history_board(title: Column, operator: Column) -> Column:
+    """City-operated boards."""
+    return F.contains(F.lower(operator), F.lit("de paris")) | F.startswith(F.lower(title), F.lit("histoire de paris"))
+
+
+def with_picture(commons: Column, image: Column) -> Column:
+    return (F.coalesce(commons, F.lit("")) != "") | (F.coalesce(image, F.lit("")) != "")
+
+
+def readable(n_words: Column, known: Column) -> Column:
+    """Machine-read text that is long enough and mostly known words."""
+    return (n_words >= 15) & (known >= 0.42)

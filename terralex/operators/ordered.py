@@ -35,8 +35,8 @@ def without_weak_head(df: DataFrame, group: str, order: list[str], strong: Colum
     """Without up to ``most`` leading rows before the first strong one."""
     w = Window.partitionBy(group).orderBy(*order)
     seen = F.max(strong.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("_seen", seen).withColumn("_pos", F.row_number().over(w))
-    return marked.where("_seen = 1 OR _pos > %d" % most).drop("_seen", "_pos")
+    marked = df.withColumn("__seen", seen).withColumn("__pos", F.row_number().over(w))
+    return marked.where("__seen = 1 OR __pos > %d" % most).drop("__seen", "__pos")
 
 
 def splice_points(df: DataFrame, group: str, order: list[str], length: str, at: Column) -> DataFrame:

@@ -43,3 +43,4 @@ def upper_median(values: Column) -> Column:
     """The element at n div 2 of the sorted values: no interpolation."""
     held = F.array_sort(F.collect_list(values))
     return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
+

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex.functions import geo
+from terralex.staging import stage
 
 
 def areas_of(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
@@ -67,20 +68,43 @@ def matched_lines(samples: DataFrame, segments: DataFrame, id_col: str, mean_max
     return best.select(id_col, "m.line_id", "m.mean_dist", "m.max_dist")
 
 
-def nearest_lines(points: DataFrame, segments: DataFrame, id_col: str, x: str, y: str, cell: float, rounds: int = 40) -> DataFrame:
-    """(id, line_id, dist): the nearest line of every point, by rings of the grid; the lowest line wins a tie.
+def nearest_lines(points: DataFrame, segments: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
+    """(id, line_id, dist): the nearest line of every point; the lowest line wins a tie.
 
-    Every round doubles the reach of the points that are still open, so each point meets about as many segments as
-    its own neighbourhood holds; there is no limit on the final distance.
+    Every round looks four times as far for the points that are still open, so each meets about as many segments as its
+    own neighbourhood holds; there is no limit on the final distance. Rounds end when no point is open.
     """
-    left = points.select(id_col, F.col(x).alias("x"), F.col(y).alias("y"))
-    done = None
-    reach = cell
-    for _ in range(rounds):
+    left = stage(points.select(id_col, F.col(x).alias("x"), F.col(y).alias("y")), "nearest-open")
+    segments = stage(segments.select("line_id", "ax", "ay", "bx", "by"), "nearest-segments")
+    near = None
+    if segments.isEmpty():
+        return left.select(id_col, F.lit(None).cast(segments.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("dist")).where(F.lit(False))
+    reach, done = cell, None
+    while True:
         near = lines_within(left, segments, reach).groupBy(id_col).agg(F.min_by("line_id", F.struct("dist", "line_id")).alias("line_id"), F.min("dist").alias("dist"))
+        near = stage(near, "nearest-found")
         done = near if done is None else done.unionByName(near)
-        left = left.join(near, id_col, "left_anti")
-        if left.isEmpty() or segments.isEmpty():
-            break
+        left = stage(left.join(near, id_col, "left_anti"), "nearest-open")
+        if left.isEmpty():
+            return done
+        reach *= 4
+
+
+def nearest_points(points: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
+    """(id, nearest, dist): every point's nearest other point; the lowest id wins a tie."""
+    own = points.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    left, reach, done = stage(own, "near-open"), cell, None
+    others = left.select(F.col("id").alias("nearest"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    if left.limit(2).count() < 2:
+        return left.select("id", F.col("id").alias("nearest"), F.lit(0.0).alias("dist")).where(F.lit(False))
+    while True:
+        cx, cy = geo.grid_cell(F.col("x"), F.col("y"), reach)
+        dist = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+        met = left.withColumn("cx", cx).withColumn("cy", cy).join(_probed(others, F.col("ox"), F.col("oy"), reach), ["cx", "cy"])
+        near = met.where("id <> nearest").withColumn("dist", dist).where(F.col("dist") <= reach)
+        near = stage(near.groupBy("id").agg(F.min(F.struct("dist", "nearest")).alias("m")).select("id", "m.nearest", "m.dist"), "near-found")
+        done = near if done is None else done.unionByName(near)
+        left = stage(left.join(near, "id", "left_anti"), "near-open")
+        if left.isEmpty():
+            return done
         reach *= 4
-    return done

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terralex.functions import fixed
 from terralex.functions import text as T
 from terralex.operators import fuzzy, ordered, resolve
+from terralex.operators.filters import readable
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,14 +39,14 @@ SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name AND damerau
 
 def fuzzy_reject(spark, d):
     part = _read(spark, d, "part")
-    left = part.where("p_size > 40").select(F.expr("concat(p_name, ' ', p_size div 5)").alias("name")).distinct()
-    right = part.where("p_size <= 35").select(F.expr("concat(p_name, ' ', p_size div 5)").alias("name"))
-    return fuzzy.without_close(left, right, "name")
+    long = F.expr("concat(p_name, ' ', p_size * 37 + p_partkey % 97)")
+    left = part.where("p_size > 40").select(long.alias("name")).distinct()
+    return fuzzy.without_close(left, part.where("p_size <= 35").select(long.alias("name")), "name")
 
 
 FUZZY_REJECT = """
-WITH l AS (SELECT DISTINCT p_name || ' ' || (p_size // 5) AS name FROM part WHERE p_size > 40),
-r AS (SELECT DISTINCT p_name || ' ' || (p_size // 5) AS name FROM part WHERE p_size <= 35)
+WITH n AS (SELECT p_size, p_name || ' ' || (p_size * 37 + p_partkey % 97) AS name FROM part),
+l AS (SELECT DISTINCT name FROM n WHERE p_size > 40), r AS (SELECT DISTINCT name FROM n WHERE p_size <= 35)
 SELECT name FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE damerau_levenshtein(l.name, r.name) <= 1)
 """
 
@@ -108,21 +110,21 @@ def dehyphenated(spark, d):
 
 
 DEHYPHENATED = r"""
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(
-  replace(text, 'e ', 'e-' || chr(10)), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'),
-  '\n{3,}', chr(10) || chr(10), 'g'))) AS text_md5 FROM documents
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(
+  replace(text, 'e ', 'e-' || chr(10)), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), chr(160), ' '), '\r', chr(10), 'g'), '[ \t]+', ' ', 'g'),
+  '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents
 """
 
 
 def name_slugs(spark, d):
     name = F.col("p_name")
-    url = T.image_url("https://example.org/", F.concat(F.lit("File:"), name, F.lit(".jpg;other.jpg")))
+    url = T.image_url("https://example.org/", F.lit(""), F.concat(F.lit("File:"), name, F.lit(".jpg;other.jpg")))
     return _read(spark, d, "part").select("p_partkey", T.slug(name).alias("slug"), url.alias("url"), T.h32(name).alias("h"), (F.abs(T.h32(name)) % 8).alias("palette"))
 
 
 NAME_SLUGS = """
 SELECT *, abs(h) % 8 AS palette FROM (
-SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') AS slug, 'https://example.org/' || replace(p_name, ' ', '_') || '.jpg' AS url,
+SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') AS slug, 'https://example.org/' || replace(p_name, ' ', '%20') || '.jpg' AS url,
   (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END)::BIGINT AS h
 FROM (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS u FROM part))
 """
@@ -153,7 +155,7 @@ def vowel_words(spark, d):
 
 
 VOWEL_WORDS = r"""
-SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\p{L}{3,}'), lambda w: regexp_matches(w, '[aeiouyàâäéèêëîïôöùûüœæ]'))) ::INTEGER AS n FROM documents
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{3,}'), lambda w: regexp_matches(w, '[aeiouyàâéèêîïôûüAEIOUY]'))) ::INTEGER AS n FROM documents
 """
 
 
@@ -161,18 +163,20 @@ def known_words(spark, d):
     """Share of a document's words that the clean documents' vocabulary has."""
     docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels")
     words = docs.select("doc_id", F.explode(T.plain_words(F.col("text"))).alias("w"))
-    clean = words.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("w")
-    constants = docs.sparkSession.createDataFrame([(w,) for w in ("rue", "place", "paris")], "w string")
+    sure = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    clean = sure.select(F.explode(T.plain_words(F.col("text"), lower=True)).alias("w"))
+    constants = docs.sparkSession.createDataFrame([(w,) for w in fixed.COMMON_FRENCH], "w string")
     vocabulary = clean.union(constants).distinct().withColumn("known", F.lit(1))
     # words are counted per document before they meet the vocabulary
     counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     found = counts.join(vocabulary, "w", "left").groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.coalesce("known", F.lit(0))).alias("hits"))
-    return found.select("doc_id", "tokens", F.round(F.col("hits") / F.col("tokens"), 6).alias("ratio"), ((F.col("tokens") >= 15) & (F.col("hits") / F.col("tokens") >= 0.42)).alias("passes"))
+    return found.select("doc_id", "tokens", F.round(F.col("hits") / F.col("tokens"), 6).alias("ratio"), readable(F.col("tokens"), F.col("hits") / F.col("tokens")).alias("passes"))
 
 
-KNOWN_WORDS = r"""
-WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[a-z]{3,}')) AS w FROM documents),
-vocab AS (SELECT w FROM words WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION SELECT unnest(['rue', 'place', 'paris']))
+KNOWN_WORDS = rf"""
+WITH words AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{3,}}'), lambda w: lower(regexp_replace(strip_accents(w), '[^\x00-\x7F]', '', 'g')))) AS w FROM documents),
+vocab AS (SELECT lower(regexp_replace(strip_accents(unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{{3,}}'))), '[^\x00-\x7F]', '', 'g')) AS w
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION SELECT unnest({sorted(set(fixed.COMMON_FRENCH))}))
 SELECT doc_id, count(*)::BIGINT AS tokens, round(count(v.w) / count(*), 6) AS ratio, count(*) >= 15 AND count(v.w) / count(*) >= 0.42 AS passes
 FROM words LEFT JOIN vocab v USING (w) GROUP BY doc_id
 """
@@ -239,14 +243,20 @@ def line_filter(spark, d):
 
 LINE_FILTER = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-s AS (SELECT *, len(regexp_extract_all(line, '\p{L}')) AS letters, len(regexp_extract_all(line, '[^ \t]')) AS solid, len(regexp_extract_all(line, '\p{Ll}')) AS lows,
-  len(list_filter(regexp_extract_all(lower(line), '\p{L}{3,}'), lambda w: regexp_matches(w, '[aeiouyàâäéèêëîïôöùûüœæ]'))) AS score FROM l),
+s AS (SELECT *, len(regexp_extract_all(line, '\p{L}')) AS letters, len(regexp_extract_all(line, '[^\s\p{Z}]')) AS solid, len(regexp_extract_all(line, '\p{Ll}')) AS lows,
+  len(list_filter(regexp_extract_all(line, '[A-Za-zÀ-ÿ]{3,}'), lambda w: regexp_matches(w, '(?i)[aeiouyàâéèêîïôûü]'))) AS score FROM l),
 g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, max((score >= 4)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seen
   FROM s WHERE solid > 0 AND letters > 0 AND letters / solid >= 0.6 AND lows / letters >= 0.55 AND score >= 2)
 SELECT doc_id, count(*)::BIGINT AS n_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM g WHERE seen = 1 OR n > 3 GROUP BY doc_id
 """
 
 
+def panel_lines(spark, d):
+    """Prose of every document: lines trimmed at their edges, title bands and weak leading lines dropped."""
+    lines = _read(spark, d, "documents").select("doc_id", T.prose_lines(F.col("text")).alias("p"))
+    return lines.select("doc_id", F.size("p").alias("n_lines"), F.md5(F.array_join("p", "\n")).alias("prose_md5"))
+
+
 def edge_trim(spark, d):
     return _read(spark, d, "conversations").select("conv_id", "turn", T.trim_edges(F.col("text")).alias("trimmed"))
 
@@ -291,6 +301,7 @@ ALL = {
     "recall_stats": (recall_stats, RECALL_STATS),
     "priority_merge": (priority_merge, PRIORITY_MERGE),
     "line_filter": (line_filter, LINE_FILTER),
+    "panel_lines": (panel_lines, None),
     "edge_trim": (edge_trim, None),
     "core_names": (core_names, None),
     "expanded_names": (expanded_names, None),
