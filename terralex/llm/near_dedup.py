@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from terralex.llm import words
 from terralex.llm.arrow import mapped
-from terralex.llm.components import components
 from terralex.llm.storage import stage
+from terralex.operators.graph import components
 
 SHINGLE = 5
 PERCENT = 85

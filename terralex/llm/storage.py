@@ -1,47 +1,18 @@
-"""Shared-folder tables and code shipping for the corpus operators.
-
-Intermediate results are cut off from their lineage by writing them as Parquet under the folder named in
-``spark.checkpoint.dir``, which every executor and the driver can read.
-"""
+"""Code shipping for the corpus operators, and the shared-folder tables of ``terralex.staging``."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_SHIPPED: set[str] = set()
+from terralex.staging import discard, shared_dir, stage
 
+__all__ = ["discard", "shared_dir", "ship", "stage"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder is set only where a local session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = Path(tempfile.gettempdir(), "checkpoints").as_uri()
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again: no lineage, known size, columns pruned by readers."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
