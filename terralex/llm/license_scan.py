@@ -129,7 +129,10 @@ def spans(table: DataFrame) -> DataFrame:
 def scanned(docs: DataFrame) -> DataFrame:
     """One row per document: base columns, all labels and a score."""
     table = read(docs)
-    best = spans(table).groupBy("row_key").agg(F.max("score").alias("best"), F.collect_set(F.when(F.col("score") >= COVERAGE, F.col("label"))).alias("more"))
+    # notices that differ in a word or two match at the same place: the best one there counts
+    there = Window.partitionBy("row_key").orderBy("start").rangeBetween(-GAP, GAP)
+    found = spans(table).withColumn("rival", F.max("score").over(there)).where("score >= rival")
+    best = found.groupBy("row_key").agg(F.max("score").alias("best"), F.collect_set(F.when(F.col("score") >= COVERAGE, F.col("label"))).alias("more"))
     rows = table.drop("places", "grams", "words").join(best, "row_key", "left")
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_join(F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))), ",")
