@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.llm.keys import ascii_lower, lookup
+from terralex.llm.keys import ascii_lower, lookup, unused
 from terralex.llm.storage import stage
 
 #: Bits of the hash that the directory may use; it has at most 2**MAX_DEPTH entries at any size of input.
@@ -103,12 +103,13 @@ def deduplicated(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     decided = stage(deduped(docs, capacity).where("group_size > 1").select("doc_id", F.xxhash64("text_sha256").alias("sha"), "kept"), "dedup-decided")
     gone = decided.where("NOT kept").select("doc_id", "sha").distinct()
     twins = decided.where("kept").groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = docs.withColumn("_sha", F.xxhash64(F.sha2(_normal(docs), 256)))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["_sha"] == other["sha"])
+    sha = unused(docs, "_sha")
+    keyed = docs.withColumn(sha, F.xxhash64(F.sha2(_normal(docs), 256)))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[sha] == other["sha"])
     left = keyed.join(gone, same(gone), "left_anti")
     if not twins.isEmpty():
         twins = stage(twins, "dedup-twins")
-        once = left.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", "_sha"])
+        once = left.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", sha])
         left = left.join(twins, same(twins), "left_anti").unionByName(once)
     return left.select(*docs.columns)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.llm.keys import WORD, seeded_key
+from terralex.llm.keys import WORD, seeded_key, unused
 from terralex.llm.storage import stage
 
 WEIGHTS = (5, 2, 1)
@@ -98,14 +98,14 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     texts aren't shuffled.
     """
     decided = plan(sized(docs), **settings)
-    base = F.min("whole").alias("_whole")
-    last = F.max(F.when(F.col("repeats") > F.col("whole"), F.col("place"))).alias("_last")
-    cuts = stage(decided.groupBy("skey").agg(base, last).withColumnRenamed("skey", "_skey"), "mix-cuts")
+    key, whole, last, times = (unused(docs, f"_{n}") for n in ("skey", "whole", "last", "times"))
+    final = F.max(F.when(F.col("repeats") > F.col("whole"), F.col("place"))).alias(last)
+    cuts = stage(decided.groupBy(F.col("skey").alias(key)).agg(F.min("whole").alias(whole), final), "mix-cuts")
     place = seeded_key(SEED, F.col("doc_id"), F.col("text"))
     words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    repeats = F.when(words, F.col("_whole") + F.when(place <= F.col("_last"), 1).otherwise(0)).otherwise(0)
-    rows = docs.join(cuts, source_key(docs["source"]) == cuts["_skey"]).withColumn("_repeats", repeats.cast("int"))
-    copies = rows.where("_repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
+    repeats = F.when(words, F.col(whole) + F.when(place <= F.col(last), 1).otherwise(0)).otherwise(0)
+    rows = docs.join(cuts, source_key(docs["source"]) == cuts[key]).withColumn(times, repeats.cast("int"))
+    copies = rows.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*[docs[c] for c in docs.columns])
 
 

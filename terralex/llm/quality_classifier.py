@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terralex.llm import words
 from terralex.llm.arrow import mapped
+from terralex.llm.keys import unused
 from terralex.llm.storage import stage
 
 TRAIN_ROWS = 6000
@@ -87,8 +88,8 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.frombuffer(made[0], np.float32).astype(np.float64) if made else np.zeros((1 << BITS) + 1)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) and ``score`` of every row."""
+def scored(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns (all by default) and the score, called ``name``, of every row."""
     packed = weights.astype(np.float32)
 
     def fn(batch: pa.RecordBatch) -> list:
@@ -104,16 +105,17 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None)
         logit = np.concatenate(out) if out else np.zeros(0)
         return [1 / (1 + np.exp(-np.clip(logit, -35, 35)))]
 
-    return mapped(docs, keep or docs.columns, "_score double", fn)
+    return mapped(docs, keep or docs.columns, f"`{name}` double", fn)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: whether it was held out, its score and the verdict."""
     table = scored(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"])
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    return table.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= ACCEPT).cast("int").alias("predicted"))
+    return table.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model accepts, with their columns."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") >= ACCEPT).select(*docs.columns)
+    name = unused(docs, "score")
+    return scored(docs, train(docs, labels), name=name).where(F.col(name) >= ACCEPT).drop(name)
