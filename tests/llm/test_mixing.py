@@ -41,6 +41,7 @@ def test_targets_and_taken(spark, sizes):
         assert all(0 <= r.taken <= 2 * r.size for r in own)
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns
+    assert mixing.mixed(docs.withColumn("_skey", F.lit(1)).withColumn("_times", F.lit(1)).withColumn("_whole", F.lit(1))).count() == mixed.count()
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == {r.doc_id: r.taken // r.size for r in report if r.taken}
 
