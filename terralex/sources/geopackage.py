@@ -110,9 +110,9 @@ class GeoPackageSource(DataSource):
     def _path(self) -> str:
         return self.options["path"].removeprefix("file://")
 
-    def schema(self) -> StructType:
+    def schema(self) -> str:
         columns, _ = self._layout()
-        return StructType.fromDDL(", ".join([*(f"`{n}` {t}" for n, t in columns), "parts array<array<struct<x:double,y:double>>>"]))
+        return ", ".join([*(f"`{n}` {t}" for n, t in columns), "parts array<array<struct<x:double,y:double>>>"])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         columns, shape = self._layout()

@@ -55,6 +55,11 @@ def notify(rows: DataFrame, call: Callable[[DataFrame, int], None], checkpoint:
     return rows.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def notify_updates(rows: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """As ``notify``, for rows that change, such as a roster."""
+    return rows.writeStream.outputMode("update").foreachBatch(call).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def finish(query: StreamingQuery, seconds: float = 30) -> bool:
     """Wait for the end, no longer than a deadline; stop the query if it is missed."""
     done = query.awaitTermination(int(seconds))
