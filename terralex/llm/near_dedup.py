@@ -12,8 +12,11 @@ document's component is the smallest id reachable over links.
 3. Classes that share a key with another are candidates. Each is linked to the least class of each of its tables and to
    the least class that shares one of its rare shingles, links are verified on the full sets, and components are formed.
 4. What is left is exact: two sets of similarity t share a shingle among the n - ceil(t n) + 1 rarest of each. Only
-   buckets of such shingles that still hold several components give pairs, and only between components; these are
-   verified on the full sets too. Copies are thus never expanded into all pairs, and no verified link depends on luck.
+   buckets of such shingles that still hold several components give pairs, and only between components that their
+   sizes, places and parity maps allow; these are verified on the full sets too. A parity map has one bit for each of
+   PARITY hash ranges, which tells whether the set has an odd number of shingles there: two maps differ in no more bits
+   than their sets have shingles in only one of them, so no similar pair is lost. Copies are thus never expanded into
+   all pairs, and no verified link depends on luck.
 
 Defined results: without words a document has no shingles, links with nothing and is its own component; fewer than
 five words make one shingle; null ids come after all others and never represent documents that have one; rows that
@@ -36,6 +39,8 @@ SHINGLE = 5
 PERCENT = 85
 BANDS = 8
 ROWS = 2
+#: Bits of a set's parity map.
+PARITY = 512
 #: A class with more than this share of all rows is hot; fewer than HOT_CLASSES can be.
 HOT_CLASSES = 256
 #: Stand-ins for missing ids lie above this.
@@ -89,31 +94,48 @@ def _small_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One row of PARITY / 64 words per set; sets come one after the other."""
+    out, bounds = np.empty((len(sizes), PARITY // 64), np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(0, len(sizes), 2048):  # bounds the counters' memory
+        k = min(2048, len(sizes) - i)
+        own = np.repeat(np.arange(k), sizes[i : i + k])
+        place = (values[bounds[i] : bounds[i + k]] >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+        odd = np.bincount(own * PARITY + place, minlength=k * PARITY) & 1
+        out[i : i + k] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(k, -1)
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
 def _each(batch: pa.RecordBatch, full: bool) -> list:
-    """Size, both fingerprints, and the small hashes or the whole set of each text; empty sets have none."""
-    size, first, second, lists = [], [], [], []
+    """Size, both fingerprints, and the small hashes or the whole set and its map of each text; empty sets have none."""
+    size, first, second, lists, maps = [], [], [], [], []
     for w in words.split(batch.column("text")):
         values, bounds = shingle_sets(w)
         n = np.diff(bounds)
         some = np.flatnonzero(n)
         a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
         own: list = [None] * len(n)
+        bits: list = [None] * len(n)
         if len(some):
             starts = bounds[some]
             a[some], b[some] = _fingerprints(values, starts)
             rows = [values[s:e] for s, e in zip(starts, bounds[some + 1], strict=True)] if full else _small_hashes(values, starts)
             for d, row in zip(some, rows, strict=True):
                 own[d] = _signed(row)
+            if full:
+                for d, row in zip(some, _parity(values, n[some]), strict=True):
+                    bits[d] = row
         size.append(n)
         first.append(_signed(a))
         second.append(_signed(b))
         lists += own
+        maps += bits
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return [join(size), join(first), join(second), lists]
+    return [join(size), join(first), join(second), lists, *([maps] if full else [])]
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -146,14 +168,14 @@ def _stars(rows: DataFrame, key: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(rep, n, shingles) of the candidate classes, each read from one of its documents."""
+    """(rep, n, shingles, bits) of the candidate classes, each read from one of its documents."""
     ids = candidates.select(F.when(F.col("rep") < NO_ID, F.col("rep")).alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = mapped(texts, ["doc_id"], "n long, set_a long, set_b long, shingles array<long>", lambda b: _each(b, True))
+    sets = mapped(texts, ["doc_id"], "n long, set_a long, set_b long, shingles array<long>, bits array<long>", lambda b: _each(b, True))
     named = sets.join(classes.join(candidates, "rep", "left_semi").select("rep", "n", "set_a", "set_b"), ["n", "set_a", "set_b"])
     # the representative's own row; classes without ids, and repeated rows, keep any of their equal sets
     own = named.where((F.col("doc_id") == F.col("rep")) | (F.col("rep") >= NO_ID))
-    return stage(own.select("rep", "n", "shingles").dropDuplicates(["rep"]), "near-sets")
+    return stage(own.select("rep", "n", "shingles", "bits").dropDuplicates(["rep"]), "near-sets")
 
 
 def rare_shingles(sets: DataFrame) -> DataFrame:
@@ -179,6 +201,12 @@ def _in_reach(x: str, y: str) -> Column:
     return (F.col(f"{x}.place") <= F.col(f"{x}.n") - need + 1) & (F.col(f"{y}.place") <= F.col(f"{y}.n") - need + 1)
 
 
+def _maps_fit(x: str, y: str) -> Column:
+    """Whether few enough bits of the parity maps differ; a lower bound of the shingles that only one of the sets has."""
+    differing = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return differing * (100 + PERCENT) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - PERCENT)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
@@ -202,9 +230,9 @@ def linked(docs: DataFrame) -> DataFrame:
     groups = stage(components(links), "near-groups")
     placed = rare.join(groups, rare["rep"] == groups["node"], "left").select("rep", "n", "t", "place", F.coalesce("component", "rep").alias("c"))
     open_ = placed.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
-    mixed = stage(placed.join(open_, "t"), "near-open")
+    mixed = stage(placed.join(open_, "t").join(sets.select("rep", "bits"), "rep"), "near-open")
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.col("x.t") == F.col("y.t")).where("x.rep < y.rep AND x.c <> y.c").where(_sizes_fit(F.col("x.n"), F.col("y.n")) & _in_reach("x", "y"))
+    across = x.join(y, F.col("x.t") == F.col("y.t")).where("x.rep < y.rep AND x.c <> y.c").where(_sizes_fit(F.col("x.n"), F.col("y.n")) & _in_reach("x", "y") & _maps_fit("x", "y"))
     more = verified(stage(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs"), sets)
     groups = stage(components(links.union(more)), "near-groups")
     return assigned(sketch, classes, groups)
