@@ -11,6 +11,8 @@ from terralex.functions import geo
 from terralex.operators import graph, ordered, planar, spatial
 
 LAT0 = 48.86
+#: Metres between the middles of neighbouring quarters of the street town; their streets overlap.
+QUARTER_M = 1500.0
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -186,8 +188,13 @@ COMPACT_IDS = "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS idx FRO
 
 
 def _streets(spark, d) -> DataFrame:
-    """Streets through the points: one per label, and a rail across each; metres."""
-    p = _points(spark, d).select((F.col("vec_id") % 40).alias("k"), "label", F.round(F.col("x") * 4000).alias("x"), F.round(F.col("y") * 4000).alias("y"), "vec_id").where("vec_id < 160")
+    """Streets through all points in metres: one for every four ids. Every 160 ids make a quarter, and quarters are laid
+    out as a growing square, so the town's area grows with the table and its density does not."""
+    quarter = F.expr("vec_id div 160")
+    shell = F.floor(F.sqrt(quarter))
+    place = quarter - shell * shell
+    at = lambda f, cell: F.round(F.col(f) * 4000) + cell * QUARTER_M
+    p = _points(spark, d).select(F.expr("vec_id div 4").alias("k"), at("x", F.least(place, shell)).alias("x"), at("y", F.least(shell * 2 - place, shell)).alias("y"), "vec_id")
     return planar.segments_of(p, "k", "vec_id", "k", "x", "y").withColumn("name", F.concat(F.lit("rue "), "name"))
 
 

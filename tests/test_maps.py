@@ -5,6 +5,7 @@ import struct
 from pyspark.sql import functions as F
 
 from terralex.operators import graph, planar
+from terralex.plans import spatial_queries
 from terralex.sources import maps, pages, sinks
 
 
@@ -44,6 +45,17 @@ def test_near_touch_and_snap(spark):
     assert [(r.x, r.y) for r in planar.junctions(moved).collect()] == [(52.0, 0.0)]
 
 
+def test_street_queries_read_all_points(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+    assert max(ids) > 160
+    lines = {r.line for r in spatial_queries._streets(spark, sf).select("line").distinct().collect()}
+    assert lines == {i // 4 for i in ids}
+    named = {r.name for r in spatial_queries.street_graph(spark, sf).collect()}
+    # all but a few streets hang together
+    assert named <= {f"rue {k}" for k in lines} and len(named) > 0.95 * len(lines)
+
+
 def test_rings():
     assert planar.stitched([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 1)], [(0, 0), (0, 1)]]) == [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
     assert planar.stitched([[(0, 0), (1, 0)], [(5, 5), (6, 6)]]) == [(0, 0), (1, 0)]
