@@ -138,6 +138,16 @@ def test_secret_scan(spark):
     assert secret_scan.scanned(docs.limit(0)).count() == 0
 
 
+def test_long_secrets_and_split_names(spark):
+    parts = [f"Zx{i:02d}-Qp4{i % 7}" for i in range(90)]
+    values = ["web_hook = 'aB3dE6gH9jK2mN5pQ8'", "signing_key = " + " + ".join(f'"{x}"' for x in parts), "base = " + " + ".join(f'"{x}"' for x in parts) + "\nsigning_key = base"]
+    got = by_text(secret_scan.scanned(docs := spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")), docs, "n_literal")
+    assert [got[i] for i in range(3)] == [(1,), (90,), (90,)]
+    for word in secret_scan.SENSITIVE:
+        for name in [word, *(word[:i] + gap + word[i:] for i in range(1, len(word)) for gap in ("_", "-", ".", "é"))]:
+            assert secret_scan.sensitivity(name) == 0 or secret_scan.HINT.search(name), name
+
+
 def test_license_scan(spark):
     values = [
         None, "", "MIT  License", "the mit license. The MIT-License! apache license", "mit\nlicense", "général public license; General Public License", "mitlicense mit licenses",
