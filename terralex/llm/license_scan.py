@@ -2,8 +2,8 @@
 
 Hashes of all rolling windows of ``K`` words are joined to their places in licence templates; a hit at word p of a
 document and word t of a template votes for the diagonal p - t. Votes are counted by document, template and diagonal,
-diagonals at most ``GAP`` apart are merged (words were put in or left out between them), and the span is verified word
-by word: the label holds if the longest common subsequence covers ``COVERAGE`` of the template.
+diagonals at most the template's length apart are merged (words were put in or left out between them), and every span is
+verified word by word: the label holds if the longest common subsequence covers ``COVERAGE`` of the template.
 
 Windows that no template has can't join, so they are left out where the texts are read (the set of template hashes is
 fixed and small); the joined rows are the same. Base phrases are counted in the same pass.
@@ -25,6 +25,7 @@ from terralex.llm.licenses import TEMPLATES
 from terralex.llm.storage import stage
 
 K = 3
+#: Words within which notices begin at the same place.
 GAP = 3
 COVERAGE = 0.8
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -78,23 +79,35 @@ def _read(batch: pa.RecordBatch) -> list:
     return out
 
 
-def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence; ``a`` is a template and so is short."""
-    best = np.zeros(len(a) + 1, np.int64)
-    for x in b:
+def common_length(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Length of the longest common subsequence, and the place in ``b`` where the first prefix that holds it ends; ``a``
+    is a template and so is short."""
+    best, end = np.zeros(len(a) + 1, np.int64), 0
+    for i in np.flatnonzero(np.isin(b, a)):
         step = best.copy()
-        step[1:] = np.maximum(step[1:], best[:-1] + (a == x))
-        best = np.maximum.accumulate(step)
-    return int(best[-1])
+        step[1:] = np.maximum(step[1:], best[:-1] + (a == b[i]))
+        step = np.maximum.accumulate(step)
+        if step[-1] > best[-1]:
+            end = int(i) + 1
+        best = step
+    return int(best[-1]), end
+
+
+def match(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Length of the longest common subsequence and where in ``b`` it begins: the last place for the least end."""
+    n, end = common_length(a, b)
+    return n, end - common_length(a[::-1], b[:end][::-1])[1]
 
 
 def _verify(batch: pa.RecordBatch) -> list:
-    label, score = [], []
+    label, score, begin = [], [], []
     for i, span in zip(batch.column("template").to_pylist(), batch.column("span"), strict=True):
         name, t = _TEMPLATES[i]
         label.append(name)
-        score.append(common_length(t.hashes.astype(np.int64), span.values.to_numpy()) / len(t.hashes))
-    return [label, score]
+        n, at = match(t.hashes.astype(np.int64), span.values.to_numpy())
+        score.append(n / len(t.hashes))
+        begin.append(at)
+    return [label, score, begin]
 
 
 def read(docs: DataFrame) -> DataFrame:
@@ -105,7 +118,7 @@ def read(docs: DataFrame) -> DataFrame:
 
 
 def spans(table: DataFrame) -> DataFrame:
-    """(row_key, label, start, length, score) of every candidate span, verified."""
+    """(row_key, start, length, label, score, begin) of every candidate span, verified; ``begin`` is from ``start``."""
     templates = table.sparkSession.createDataFrame(template_rows(), "gram long, template int, tplace int")
     hits = table.where(F.size("places") > 0).select("row_key", F.explode(F.arrays_zip("places", "grams")).alias("hit"))
     hits = hits.select("row_key", F.col("hit.places").alias("place"), F.col("hit.grams").alias("gram")).distinct()
@@ -113,24 +126,22 @@ def spans(table: DataFrame) -> DataFrame:
     joined = hits.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("place") - F.col("tplace"))
     votes = joined.groupBy("row_key", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
     order = Window.partitionBy("row_key", "template").orderBy("diagonal")
-    opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True)).cast("int")
+    sizes = F.element_at(F.expr(f"array({','.join(str(len(t.hashes)) for _, t in _TEMPLATES)})"), F.col("template") + 1)
+    opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > sizes, F.lit(True)).cast("int")
     merged = votes.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy("row_key", "template", "run")
     merged = merged.agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"), F.max("diagonal").alias("last"))
-    sizes = F.element_at(F.expr(f"array({','.join(str(len(t.hashes)) for _, t in _TEMPLATES)})"), F.col("template") + 1)
-    # each changed word takes at most K windows: a span that verifies keeps some votes
-    likely = merged.where(F.col("votes") >= F.greatest(F.lit(1), F.floor((sizes - K + 1) * (1 - K * (1 - COVERAGE)))))
     start = F.greatest(F.lit(0), F.col("diagonal"))
     length = F.col("last") - F.col("diagonal") + sizes
     texts = table.where(F.size("places") > 0).select("row_key", "words").dropDuplicates(["row_key"])
-    found = likely.join(texts, "row_key").select("row_key", "template", start.alias("start"), length.cast("long").alias("length"), F.slice("words", (start + 1).cast("int"), length.cast("int")).alias("span"))
-    return mapped(found, ["row_key", "start", "length"], "label string, score double", _verify)
+    found = merged.join(texts, "row_key").select("row_key", "template", start.alias("start"), length.cast("long").alias("length"), F.slice("words", (start + 1).cast("int"), length.cast("int")).alias("span"))
+    return mapped(found, ["row_key", "start", "length"], "label string, score double, begin long", _verify)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row per document: base columns, all labels and a score."""
     table = read(docs)
     # notices that differ in a word or two match at the same place: the best one there counts
-    there = Window.partitionBy("row_key").orderBy("start").rangeBetween(-GAP, GAP)
+    there = Window.partitionBy("row_key").orderBy(F.col("start") + F.col("begin")).rangeBetween(-GAP, GAP)
     found = spans(table).withColumn("rival", F.max("score").over(there)).where("score >= rival")
     best = found.groupBy("row_key").agg(F.max("score").alias("best"), F.collect_set(F.when(F.col("score") >= COVERAGE, F.col("label"))).alias("more"))
     rows = table.drop("places", "grams", "words").join(best, "row_key", "left")

@@ -171,6 +171,23 @@ def test_license_scan(spark):
     assert license_scan.scanned(docs.limit(0)).count() == 0
 
 
+def test_license_scan_changed_notices(spark):
+    values, want = [], []
+    for label, size in (("mit", 60), ("apache", 30), ("cc-by", 8)):
+        w = next(t.split() for x, t in license_scan.TEMPLATES if x == label and len(license_scan.hashed(t).hashes) >= size)
+        third = len(w) // 3
+        values.append(" ".join(w[:third] + [f"p{i}" for i in range(8)] + w[third : 2 * third] + [f"q{i}" for i in range(8)] + w[2 * third :]))
+        want.append(label)
+        changed = list(w)
+        for i in range(2, len(w) - 1, 3)[: len(w) // 5]:
+            changed[i] = "zzz"
+        values.append(" ".join(changed))
+        want.append(label)
+    docs = spark.createDataFrame([(i, f"x {t} x") for i, t in enumerate(values)], "doc_id long, text string")
+    got = by_text(license_scan.scanned(docs), docs, "labels", "score")
+    assert all(label in got[i][0].split(",") and got[i][1] >= license_scan.COVERAGE for i, label in enumerate(want)), got
+
+
 def rule_counts(text):
     t = text or ""
     w = WORD.findall(t)
