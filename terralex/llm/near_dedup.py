@@ -20,7 +20,8 @@ document's component is the smallest id reachable over links.
 
 Defined results: without words a document has no shingles, links with nothing and is its own component; fewer than
 five words make one shingle; null ids come after all others and never represent documents that have one; rows that
-repeat an id with the same text are one document.
+repeat an id with the same text are one document. An id with several texts has one decision for each of them;
+``deduplicated`` leaves one row of each component, also where all its ids are null or equal.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from terralex.llm import words
 from terralex.llm.arrow import mapped
+from terralex.llm.keys import unused
 from terralex.llm.storage import stage
 from terralex.operators.graph import components
 
@@ -138,16 +140,24 @@ def _each(batch: pa.RecordBatch, full: bool) -> list:
     return [join(size), join(first), join(second), lists, *([maps] if full else [])]
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_a, set_b and the small hashes, staged: the one pass over all texts."""
-    return stage(mapped(docs.select("doc_id", "text"), ["doc_id"], "n long, set_a long, set_b long, hashes array<long>", lambda b: _each(b, False)), "near-sketch")
+    """doc_id, text_key, n, set_a, set_b and the small hashes, staged: the one pass over all texts."""
+    keyed = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    return stage(mapped(keyed, ["doc_id", "text_key"], "n long, set_a long, set_b long, hashes array<long>", lambda b: _each(b, False)), "near-sketch")
 
 
 def classes_of(sketch: DataFrame) -> DataFrame:
-    """One row per distinct set: its representative, number of rows and small hashes."""
-    own = F.coalesce(F.min("doc_id"), F.expr(f"(set_a & {0x0FFFFFFFFFFFFFFF}L) | {NO_ID}L"))
-    grouped = sketch.where("n > 0").groupBy("n", "set_a", "set_b").agg(own.alias("rep"), F.count("*").alias("members"), F.first("hashes").alias("hashes"))
-    return stage(grouped, "near-classes")
+    """One row per distinct set: its least id, its representative, number of rows and small hashes. The representative is
+    the least id, or a stand-in where that is missing or another set has it too."""
+    grouped = sketch.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("own"), F.count("*").alias("members"), F.first("hashes").alias("hashes"))
+    grouped = stage(grouped, "near-grouped")
+    taken = stage(grouped.where("own IS NOT NULL").groupBy("own").agg(F.count("*").alias("k")).where("k > 1").select("own", F.lit(True).alias("taken")), "near-taken")
+    rep = F.when(F.col("taken").isNull(), F.col("own"))
+    return grouped.join(taken, "own", "left").withColumn("rep", F.coalesce(rep, F.expr(f"(set_a & {0x0FFFFFFFFFFFFFFF}L) | {NO_ID}L"))).drop("taken")
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -169,12 +179,13 @@ def _stars(rows: DataFrame, key: str) -> DataFrame:
 
 def full_sets(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
     """(rep, n, shingles, bits) of the candidate classes, each read from one of its documents."""
-    ids = candidates.select(F.when(F.col("rep") < NO_ID, F.col("rep")).alias("_id")).distinct()
+    wanted = classes.join(candidates, "rep", "left_semi").select("rep", "own", "n", "set_a", "set_b")
+    ids = wanted.select(F.col("own").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = mapped(texts, ["doc_id"], "n long, set_a long, set_b long, shingles array<long>, bits array<long>", lambda b: _each(b, True))
-    named = sets.join(classes.join(candidates, "rep", "left_semi").select("rep", "n", "set_a", "set_b"), ["n", "set_a", "set_b"])
+    named = sets.join(wanted, ["n", "set_a", "set_b"])
     # the representative's own row; classes without ids, and repeated rows, keep any of their equal sets
-    own = named.where((F.col("doc_id") == F.col("rep")) | (F.col("rep") >= NO_ID))
+    own = named.where(F.col("doc_id").eqNullSafe(F.col("own")))
     return stage(own.select("rep", "n", "shingles", "bits").dropDuplicates(["rep"]), "near-sets")
 
 
@@ -219,6 +230,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _decided(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """``linked`` with the text's key and the component's node."""
     sketch = sketched(docs)
     classes = classes_of(sketch)
     keys = table_keys(classes)
@@ -241,7 +257,11 @@ def linked(docs: DataFrame) -> DataFrame:
 def assigned(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """Give every row its component by its set; hot classes, fewer than HOT_CLASSES, are looked up by broadcast."""
     total = sketch.count()
-    found = classes.join(groups, classes["rep"] == groups["node"], "left").select("n", "set_a", "set_b", "members", F.coalesce("component", "rep").alias("component"))
+    found = classes.join(groups, classes["rep"] == groups["node"], "left").select("n", "set_a", "set_b", "members", "rep", "own", F.coalesce("component", "rep").alias("component"))
+    # ids behind stand-ins count for their component's least id
+    stood = found.where((F.col("rep") >= NO_ID) & F.col("own").isNotNull()).groupBy("component").agg(F.min("own").alias("low"))
+    least = F.least(F.when(F.col("component") < NO_ID, F.col("component")), F.col("low"))
+    found = found.join(stood, "component", "left").select("n", "set_a", "set_b", "members", F.struct(F.col("component").alias("node"), least.alias("id")).alias("component"))
     key = ["n", "set_a", "set_b"]
     hot = found.where(F.col("members") * HOT_CLASSES > total).drop("members").withColumnRenamed("component", "hot")
     cool = found.where(F.col("members") * HOT_CLASSES <= total).drop("members")
@@ -249,12 +269,26 @@ def assigned(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFr
     # rows of hot classes and empty rows get a key that nothing matches, so that they spread
     spread = F.col("hot").isNotNull() | (F.col("n") == 0)
     rows = rows.withColumn("size", F.col("n")).withColumn("n", F.when(spread, -1 - F.abs(F.xxhash64("doc_id") % 1_000_003)).otherwise(F.col("n")))
-    rows = rows.join(cool, key, "left").withColumn("component_id", F.coalesce("hot", "component"))
-    component = F.when(F.col("size") == 0, F.col("doc_id")).when(F.col("component_id") < NO_ID, F.col("component_id"))
-    return rows.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = rows.join(cool, key, "left").withColumn("group", F.coalesce("hot", "component"))
+    component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("group.id"))
+    return rows.select("doc_id", "text_key", F.col("group.node").alias("node"), F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``."""
-    gone = stage(linked(docs).where("NOT kept").select("doc_id"), "near-gone").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows that are kept, with the columns of ``docs``: of each component one, and all without words."""
+    decided = stage(_decided(docs).where("n_shingles > 0").select("doc_id", "text_key", "node", "kept"), "near-decided")
+    kept = decided.where("kept")
+    # several kept rows: all without ids, or one id's; the least text stays
+    several = stage(kept.groupBy("node").agg(F.count("*").alias("k"), F.min("text_key").alias("least")).where("k > 1").drop("k"), "near-several")
+    gone = decided.where("NOT kept").select("doc_id", "text_key")
+    more = kept.join(several, "node").where("text_key <> least").select("doc_id", "text_key")
+    gone = stage(gone.union(more).distinct(), "near-gone")
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, _text_key())
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[key] == other["text_key"])
+    left = keyed.join(gone, same(gone), "left_anti")
+    if not several.isEmpty():
+        twins = stage(kept.join(several, "node").where("text_key = least").select("doc_id", "text_key").distinct(), "near-twins")
+        once = left.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", key])
+        left = left.join(twins, same(twins), "left_anti").unionByName(once)
+    return left.select(*docs.columns)

@@ -143,6 +143,20 @@ def test_near_dedup_edges(spark):
     assert near_dedup.linked(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_removes_by_id_and_text(spark):
+    a, b, c, d = ("{0}1 {0}2 {0}3 {0}4 {0}5 {0}6".format(x) for x in "abcd")
+    odd = [(None, a.upper()), (9, a), (None, "clean words of no other document"), (None, b), (None, b.upper()), (None, b), (7, c), (7, d), (3, d.upper()), (5, None), (5, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    got = [(r.doc_id, (r.text or "").lower()) for r in near_dedup.deduplicated(docs).collect()]
+    assert sorted(got, key=str) == sorted([(9, a), (None, "clean words of no other document"), (None, b), (7, c), (3, d), (5, ""), (5, "")], key=str)
+    rows = {(r.doc_id, r.component_id) for r in near_dedup.linked(docs).where("doc_id = 7").collect()}
+    assert rows == {(7, 7), (7, 3)}
+    # two sets of one id that have near copies of their own
+    long = [" ".join(f"{x}{i}" for i in range(60)) for x in "xy"]
+    two = spark.createDataFrame([(7, long[0]), (7, long[1]), (8, long[0] + " end"), (9, long[1] + " end")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(two).collect()) == [(7, long[0]), (7, long[1])]
+
+
 def test_pipeline_stages(spark):
     """Each stage of the pipeline against a restatement over its own input."""
     pipeline = pytest.importorskip("corpus_pipeline")
