@@ -1,12 +1,13 @@
 """MinHash near-deduplication with tensored banding and exact verification.
 
-Documents are linked when their sets of distinct 5-word shingles have a Jaccard similarity of at least 0.85; a
+Documents are linked when their sets of distinct 5-word shingles have a Jaccard similarity of at least ``percent`` / 100
+(0.85 unless said); a
 document's component is the smallest id reachable over links.
 
 1. One pass over the texts makes, per document, the set's size and fingerprint and two collections of ``BANDS`` small
    hashes of ``ROWS`` minhashes each. The ``BANDS ** 2`` table keys are all pairs of one hash of either collection, so
    2 * BANDS * ROWS minhashes serve keys of 2 * ROWS rows in BANDS ** 2 tables. A pair of similarity s is missed with
-   probability below 2 * (1 - s ** ROWS) ** BANDS: 7e-5 at 0.85, 3e-6 at 0.9.
+   probability below 2 * (1 - s ** ROWS) ** BANDS: 6e-4 at 0.8, 7e-5 at 0.85, 3e-6 at 0.9.
 2. Equal sets are one class. Small hashes that only one class has can't take part in a shared key, so they are dropped
    before the keys are formed.
 3. Classes that share a key with another are candidates. Each is linked to the least class of each of its tables and to
@@ -38,6 +39,7 @@ from terralex.llm.storage import stage
 from terralex.operators.graph import components
 
 SHINGLE = 5
+#: Least similarity of a link in op2_near_dedup and in the pipeline's stage.
 PERCENT = 85
 BANDS = 8
 ROWS = 2
@@ -189,51 +191,51 @@ def full_sets(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> Dat
     return stage(own.select("rep", "n", "shingles", "bits").dropDuplicates(["rep"]), "near-sets")
 
 
-def rare_shingles(sets: DataFrame) -> DataFrame:
-    """(rep, n, t, place): of each set the n - ceil(0.85 n) + 1 rarest shingles with their places in that order, without
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, t, place): of each set the n - ceil(percent / 100 n) + 1 rarest shingles with their places in that order, without
     those that no other set has (they come first)."""
     tokens = sets.select("rep", F.explode("shingles").alias("t"))
     shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     found = tokens.join(shared, "t").join(sets.select("rep", "n"), "rep")
     own = Window.partitionBy("rep")
     ranked = found.withColumn("i", F.row_number().over(own.orderBy("df", "t"))).withColumn("m", F.count("*").over(own))
-    length = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
+    length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     placed = ranked.withColumn("place", F.col("n") - F.col("m") + F.col("i"))
     return stage(placed.where(F.col("place") <= length).select("rep", "n", "t", "place"), "near-rare")
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _in_reach(x: str, y: str) -> Column:
+def _in_reach(x: str, y: str, percent: int) -> Column:
     """Whether the first shingle that two similar sets share could stand at these places: enough must follow in both."""
-    need = F.expr(f"({PERCENT} * ({x}.n + {y}.n) + {99 + PERCENT}) div {100 + PERCENT}")
+    need = F.expr(f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}")
     return (F.col(f"{x}.place") <= F.col(f"{x}.n") - need + 1) & (F.col(f"{y}.place") <= F.col(f"{y}.n") - need + 1)
 
 
-def _maps_fit(x: str, y: str) -> Column:
+def _maps_fit(x: str, y: str, percent: int) -> Column:
     """Whether few enough bits of the parity maps differ; a lower bound of the shingles that only one of the sets has."""
     differing = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY // 64)), F.lit(0))
-    return differing * (100 + PERCENT) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - PERCENT)
+    return differing * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    sized = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(_sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    sized = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     both = sized.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * PERCENT).select("a", "b")
+    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    return _decided(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return _decided(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _decided(docs: DataFrame) -> DataFrame:
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
     """``linked`` with the text's key and the component's node."""
     sketch = sketched(docs)
     classes = classes_of(sketch)
@@ -241,15 +243,15 @@ def _decided(docs: DataFrame) -> DataFrame:
     first = stage(_stars(keys, "key"), "near-stars")
     candidates = stage(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct(), "near-candidates")
     sets = full_sets(docs, classes, candidates)
-    rare = rare_shingles(sets)
-    links = stage(verified(first.union(_stars(rare, "t")).distinct(), sets), "near-links")
+    rare = rare_shingles(sets, percent)
+    links = stage(verified(first.union(_stars(rare, "t")).distinct(), sets, percent), "near-links")
     groups = stage(components(links), "near-groups")
     placed = rare.join(groups, rare["rep"] == groups["node"], "left").select("rep", "n", "t", "place", F.coalesce("component", "rep").alias("c"))
     open_ = placed.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
     mixed = stage(placed.join(open_, "t").join(sets.select("rep", "bits"), "rep"), "near-open")
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.col("x.t") == F.col("y.t")).where("x.rep < y.rep AND x.c <> y.c").where(_sizes_fit(F.col("x.n"), F.col("y.n")) & _in_reach("x", "y") & _maps_fit("x", "y"))
-    more = verified(stage(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs"), sets)
+    across = x.join(y, F.col("x.t") == F.col("y.t")).where("x.rep < y.rep AND x.c <> y.c").where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _in_reach("x", "y", percent) & _maps_fit("x", "y", percent))
+    more = verified(stage(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs"), sets, percent)
     groups = stage(components(links.union(more)), "near-groups")
     return assigned(sketch, classes, groups)
 
@@ -274,9 +276,9 @@ def assigned(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFr
     return rows.select("doc_id", "text_key", F.col("group.node").alias("node"), F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows that are kept, with the columns of ``docs``: of each component one, and all without words."""
-    decided = stage(_decided(docs).where("n_shingles > 0").select("doc_id", "text_key", "node", "kept"), "near-decided")
+    decided = stage(_decided(docs, percent).where("n_shingles > 0").select("doc_id", "text_key", "node", "kept"), "near-decided")
     kept = decided.where("kept")
     # several kept rows: all without ids, or one id's; the least text stays
     several = stage(kept.groupBy("node").agg(F.count("*").alias("k"), F.min("text_key").alias("least")).where("k > 1").drop("k"), "near-several")

@@ -157,6 +157,18 @@ def test_near_dedup_removes_by_id_and_text(spark):
     assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(two).collect()) == [(7, long[0]), (7, long[1])]
 
 
+def test_near_dedup_takes_a_threshold(spark):
+    words = [f"w{i}" for i in range(504)]
+    near = list(words)
+    for i in range(10):
+        near[25 + 50 * i] = f"changed{i}"
+    values = [(1, " ".join(words)), (2, " ".join(near)), (3, "some other text of its own")]
+    assert {c for _, c in components(values).values()} == {1, 2, 3} and {c for _, c in components(values, 80).values()} == {1, 3}
+    docs = spark.createDataFrame(values, "doc_id long, text string")
+    for percent, want in ((80, [1, 3]), (85, [1, 2, 3])):
+        assert sorted(r.doc_id for r in near_dedup.deduplicated(docs, percent).collect()) == want
+
+
 def test_pipeline_stages(spark):
     """Each stage of the pipeline against a restatement over its own input."""
     pipeline = pytest.importorskip("corpus_pipeline")
