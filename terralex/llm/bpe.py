@@ -3,17 +3,20 @@
 The automaton reads tokens and accepts exactly the tokenisations that the merges produce. It starts as one state with
 a loop for every byte. Each merge (u, v) -> w adds one gadget: the state that u leads to is copied without its arc v,
 u is redirected to the copy, and wherever u could be read, w is added, leading to where v led. Any string labels one
-accepting path, so encoding walks positions of a word from left to right with the one token that ends at each.
-States share arcs with the state they were copied from; arcs are looked up through that chain once and then tabled.
+accepting path and any place of it has one state that can be reached, so encoding searches for the word's end through
+places not entered before, along a tree of the labels and longer arcs first. States share arcs with the state they were
+copied from; arcs are looked up through that chain once and then tabled.
 
 Defined results: null counts as empty and has no tokens; special tokens in a text are encoded as such; undecodable
-bytes decode to U+FFFD.
+bytes decode to U+FFFD; repeated rows are encoded alike; an empty table gives no rows; a very long word takes memory in
+proportion to its length and isn't remembered; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame
 from terralex.llm.arrow import mapped
 
 PRE_SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Distinct words whose tokens a worker remembers at a time.
+#: Distinct words whose tokens a worker remembers at a time, and their largest size: together a bound in bytes.
 REMEMBERED = 400_000
+LONGEST = 64
 #: Arcs that it keeps tabled at a time.
 TABLED = 500_000
 
@@ -54,7 +58,13 @@ class TokenAutomaton:
                 raise ValueError("a merge uses a token that a later merge makes")
             self._gadget(k, u, v, w)
         self.ids = {b: t for t, b in labels.items() if t in self.born}
-        self.prefixes = {b[:i] for b in self.ids for i in range(1, len(b))}
+        #: Labels as a tree of bytes; -1 holds the token that ends at a node.
+        self.trie: dict = {}
+        for label, token in self.ids.items():
+            node = self.trie
+            for byte in label:
+                node = node.setdefault(byte, {})
+            node[-1] = token
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         q, after = self.target[u], self.target[v]
@@ -90,20 +100,28 @@ class TokenAutomaton:
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        n, ids, prefixes = len(word), self.ids, self.prefixes
-        states: list[int] = [0] + [-1] * n
-        came: list[int] = [-1] * (n + 1)
-        for i in range(n):
-            state = states[i]
-            if state < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                token = ids.get(piece)
-                if token is not None and states[j] < 0 and self.has(state, token):
-                    states[j], came[j] = self.target[token], token
-                if piece not in prefixes:
+        """The labels of the accepting path. Of the arcs that leave a place of the word, longer ones are tried first; each
+        place has one state that can be reached, so none is entered twice."""
+        n, target, has = len(word), self.target, self.has
+        view = word if n <= LONGEST else memoryview(word)  # slices of it are not copied
+        states, came = [-1] * (n + 1), [-1] * (n + 1)
+        states[0], at = 0, 0
+        todo: list[tuple[int, int, int]] = []  # (place, arc into it, state before the arc)
+        while at < n:
+            node, state, end = self.trie, states[at], at
+            for byte in view[at:]:
+                node = node.get(byte)
+                if node is None:
                     break
+                end += 1
+                token = node.get(-1)
+                if token is not None and states[end] < 0:
+                    todo.append((end, token, state))
+            while True:
+                at, token, state = todo.pop()
+                if states[at] < 0 and has(state, token):
+                    break
+            states[at], came[at] = target[token], token
         out = []
         while n:
             out.append(came[n])
@@ -130,9 +148,12 @@ class Encoder(dict):
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = out = b"".join(t.to_bytes(4, "little") for t in self.automaton.encode(word.encode("utf-8", "surrogatepass")))
+        data = word.encode("utf-8", "surrogatepass")
+        out = array("I", self.automaton.encode(data)).tobytes()  # little-endian hosts
+        if len(data) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
