@@ -2,11 +2,18 @@
 
 Each document's histograms of character classes and of common words are compared to those of its language by
 Jensen-Shannon distance. A language's reference is the sum over all its documents that pass the base rules, in whole
-numbers, so that reruns agree; languages with fewer than 1 / LANGUAGES of all documents, and a null language, are
-compared to the sum over everything. Documents under ``MIN_WORDS`` fail the base rules, so every verdict rests on
-enough words; the distances of others are still given.
-
-Defined results: null counts as empty and fails; repeated rows are judged alike; an empty table gives no rows.
+numbers, so that reruns agree; documents without a language have one of their own. A reference counts from
+``REFERENCE_WORDS`` words on. Where a language has fewer there is nothing to compare with: the base rules decide and the
+distances are null. So a verdict depends on its own language's documents only, at any size of the others. ``reference``
+takes a trusted corpus in place of the judged one. Documents under ``MIN_WORDS`` fail the base rules, so every verdict
+rests on enough words; the distances of others are still given.
+
+A language with more than 1 / ``HOT_LANGUAGES`` of all rows, of which there are fewer than that, is looked up in a table
+that goes with the tasks; the other languages' rows meet their references in a join.
+
+Defined results: null counts as empty and fails; repeated rows are judged alike; an empty table gives no rows; a very
+long text is one row of fixed-size histograms; columns other than doc_id, lang and text, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -23,8 +30,9 @@ from terralex.llm.arrow import mapped
 from terralex.llm.storage import stage
 
 MIN_WORDS = 50
-#: At most so many languages have a reference of their own.
-LANGUAGES = 1024
+#: Words of documents that pass the base rules from which a language's reference counts.
+REFERENCE_WORDS = 5000
+HOT_LANGUAGES = 256
 #: Largest distances of a document that stays, for character classes and for common words; a short document's word
 #: histogram is far from any by chance, so SHORTNESS / sqrt(words) is added to the latter.
 MAX_CHARS = 0.3
@@ -141,39 +149,37 @@ def measured(docs: DataFrame) -> DataFrame:
     return stage(mapped(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"], columns, _measure), "rules-measured")
 
 
-def references(measured: DataFrame) -> dict[str | None, np.ndarray]:
-    """Histogram sums of each language that is common enough, and of everything under None: at most LANGUAGES + 1.
+def _key(lang: str | None) -> str:
+    return "" if lang is None else f"={lang}"
+
 
-    Batches are summed by language before the shuffle.
-    """
+def references(measured: DataFrame) -> DataFrame:
+    """(key, words, sums): both histograms' sums, one after the other, of each language with enough words, staged. Batches
+    are summed by language before the shuffle."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str | None, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
             n = b.num_rows
-            rows = np.concatenate([np.ones((n, 1), np.int64), *(np.asarray(b.column(c).flatten()).reshape(n, -1) for c in ("kinds", "common"))], axis=1) if n else None
-            langs = np.array(b.column("lang").to_pylist(), object)
-            for lang in set(langs.tolist()):
-                sums[lang] = sums.get(lang, 0) + rows[np.fromiter((x == lang for x in langs), bool, n)].sum(0)
-            if len(sums) > LANGUAGES:
+            if not n:
+                continue
+            rows = np.concatenate([b.column("n_words").to_numpy().reshape(n, 1), *(np.asarray(b.column(c).flatten()).reshape(n, -1) for c in ("kinds", "common"))], axis=1)
+            keys, own = np.unique([_key(x) for x in b.column("lang").to_pylist()], return_inverse=True)
+            for i, key in enumerate(keys.tolist()):
+                sums[key] = sums.get(key, 0) + rows[own == i].sum(0)
+            if len(sums) > 1024:  # bounds memory; the shuffle adds what is handed on
                 yield packed(sums)
                 sums = {}
         yield packed(sums)
 
     def packed(sums: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["key", "sums"])
 
-    parts = measured.where("NOT base_failed").select("lang", "kinds", "common").mapInArrow(partial, "lang string, sums array<long>")
-    by_lang = stage(parts.select("lang", F.posexplode("sums").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v")), "rules-langs")
-    filled = lambda rows: np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])], np.float64)
-    whole = filled(by_lang.groupBy("i").agg(F.sum("v").alias("v")).collect())
-    if not len(whole):
-        return {}
-    own = by_lang.where((F.col("i") == 0) & F.col("lang").isNotNull() & (F.col("v") * LANGUAGES > int(whole[0]))).select("lang")
-    rows: dict[str, list] = {}
-    for r in by_lang.join(F.broadcast(own), "lang").collect():  # fewer than LANGUAGES languages
-        rows.setdefault(r["lang"], []).append(r)
-    return {k: filled(v)[1:] for k, v in rows.items()} | {None: whole[1:]}
+    parts = measured.where("NOT base_failed").select("lang", "n_words", "kinds", "common").mapInArrow(partial, "key string, sums array<long>")
+    entries = parts.select("key", F.posexplode("sums").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v"))
+    lists = entries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select("key", F.col("s.v").alias("s"))
+    counted = lists.select("key", F.col("s")[0].alias("words"), F.slice("s", 2, N_CHARS + N_COMMON).alias("sums"))
+    return stage(counted.where(F.col("words") >= REFERENCE_WORDS), "rules-references")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -186,24 +192,37 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.nan_to_num(d)
 
 
-def judged(docs: DataFrame, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
+def judged(docs: DataFrame, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, reference: DataFrame | None = None) -> DataFrame:
     """One row per document: base counts, base_failed, both distances and whether it is kept."""
     table = measured(docs)
-    known = references(table)
-
-    def fn(batch: pa.RecordBatch) -> list:
+    known = references(table if reference is None else measured(reference))
+    by_key = table.withColumn("key", F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang"))).drop("lang")
+    counts = stage(by_key.groupBy("key").agg(F.count("*").alias("n")), "rules-languages")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = [r["key"] for r in counts.where(F.col("n") * HOT_LANGUAGES > total).select("key").collect()]
+    hot = {r["key"]: np.array(r["sums"], np.float64) for r in known.where(F.col("key").isin(often)).collect()}
+    width = N_CHARS + N_COMMON
+
+    def compared(batch: pa.RecordBatch, refs: list, has: np.ndarray) -> list:
         n = batch.num_rows
-        if not n or not known:
-            return [[0.0] * n, [0.0] * n, [False] * n]
-        refs = np.stack([known.get(x, known[None]) for x in batch.column("lang").to_pylist()])
+        failed = np.asarray(batch.column("base_failed").to_numpy(zero_copy_only=False), bool)
+        against = np.stack([r if r is not None else np.ones(width) for r in refs]) if n else np.ones((0, width))
         kinds = np.asarray(batch.column("kinds").flatten(), np.float64).reshape(n, N_CHARS)
         common = np.asarray(batch.column("common").flatten(), np.float64).reshape(n, N_COMMON)
-        chars = distance(kinds, refs[:, :N_CHARS])
-        told = distance(common, refs[:, N_CHARS:])
-        size = batch.column("n_words").to_numpy()
-        failed = np.asarray(batch.column("base_failed").to_numpy(zero_copy_only=False), bool)
-        return [chars, told, ~failed & (chars <= max_chars) & (told <= max_words + SHORTNESS / np.sqrt(np.maximum(1, size)))]
+        chars, told = distance(kinds, against[:, :N_CHARS]), distance(common, against[:, N_CHARS:])
+        near = (chars <= max_chars) & (told <= max_words + SHORTNESS / np.sqrt(np.maximum(1, batch.column("n_words").to_numpy())))
+        return [pa.array(chars, mask=~has), pa.array(told, mask=~has), ~failed & (near | ~has)]
+
+    def of_hot(batch: pa.RecordBatch) -> list:
+        refs = [hot.get(k) for k in batch.column("key").to_pylist()]
+        return compared(batch, refs, np.fromiter((r is not None for r in refs), bool, len(refs)))
+
+    def of_row(batch: pa.RecordBatch) -> list:
+        refs = [None if r is None else np.array(r, np.float64) for r in batch.column("sums").to_pylist()]
+        return compared(batch, refs, np.fromiter((r is not None for r in refs), bool, len(refs)))
 
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = mapped(table, keep, "char_distance double, word_distance double, kept boolean", fn)
-    return judged.select(*keep, "kept", "char_distance", "word_distance")
+    columns = "char_distance double, word_distance double, kept boolean"
+    out = mapped(by_key.where(F.col("key").isin(often)), keep, columns, of_hot)
+    rare = by_key.where(~F.col("key").isin(often)).join(known.select("key", "sums"), "key", "left")
+    return out.union(mapped(rare, keep, columns, of_row)).select(*keep, "kept", "char_distance", "word_distance")
