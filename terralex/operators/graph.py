@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralex.operators.skew import with_groups
 from terralex.staging import discard, stage
 
 
@@ -12,28 +13,30 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Link the neighbours that ``keep`` selects to the least of u and its neighbours in ``pairs``."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = pairs.join(least, "u").where(keep)
-    return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): each pair with the least of u and all its neighbours; a hub's pairs stay spread over the tasks."""
+    return with_groups(pairs, ["u"], [F.min("v").alias("_v")]).withColumn("m", F.least("u", "_v")).drop("_v")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for each node of the edges (a, b); repeats and loops are harmless.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to the shared folder, until the
-    edges are stars around the least node of each component: O(log^2 n) rounds, no group ever held by one task.
+    edges are stars around the least node of each component: O(log^2 n) rounds. A node's neighbours are combined before
+    the shuffle; those of a node with more than 1 / 256 of all pairs meet their least by broadcast. So no task holds a
+    hub's neighbours.
     """
     current = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     seen = None
     while True:
-        large = _star(_neighbours(current), F.col("v") > F.col("u"))
-        pairs = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        small = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("u", "m"))
+        # large star: greater neighbours go to the least
+        large = _stars(_neighbours(current)).where("v > u AND v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        pairs = stage(large.distinct(), "components-large")
+        # small star: the lesser neighbours and the node itself do
+        small = _stars(pairs).select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a <> b")
         following = stage(small.distinct(), "components")
         discard(current)
+        discard(pairs)
         current = following
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).cast("string")).first()
         if state == seen or not state[0]:
