@@ -27,3 +27,18 @@ def with_groups(rows: DataFrame, keys: list[str], aggregates: list[Column], cond
     often = F.broadcast(found.where(F.col("_rows") * hubs > total).select(*keys))
     rest = rows.join(often, keys, "left_anti").join(kept.where("NOT _hub").drop("_hub"), keys)
     return rows.join(F.broadcast(kept.where("_hub").drop("_hub")), keys).unionByName(rest)
+
+
+def hub_keys(rows: DataFrame, key: str, hubs: int = HUBS) -> DataFrame | None:
+    """The keys, fewer than ``hubs``, that hold more than 1 / ``hubs`` of all rows each, staged; None if there are none."""
+    total = rows.count()
+    found = stage(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * hubs > total).select(key), "hubs")
+    return None if found.isEmpty() else found
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, often: DataFrame | None) -> DataFrame:
+    """``rows`` joined to the one row of ``table`` that has their key; those of the keys ``often`` meet it by broadcast."""
+    if often is None:
+        return rows.join(table, key)
+    near = table.join(F.broadcast(often), key, "left_semi")  # fewer than HUBS rows
+    return rows.join(F.broadcast(near), key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(table, key))
