@@ -37,6 +37,7 @@ from terralex.llm.arrow import mapped
 from terralex.llm.keys import unused
 from terralex.llm.storage import stage
 from terralex.operators.graph import components
+from terralex.operators.skew import hub_keys, looked_up, with_groups
 
 SHINGLE = 5
 #: Least similarity of a link in op2_near_dedup and in the pipeline's stage.
@@ -165,8 +166,7 @@ def classes_of(sketch: DataFrame) -> DataFrame:
 def table_keys(classes: DataFrame) -> DataFrame:
     """(rep, key) of all tables in which the class may meet another."""
     small = classes.select("rep", F.posexplode("hashes").alias("band", "h"))
-    met = small.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    live = small.join(met, "h").groupBy("rep").agg(
+    live = with_groups(small, ["h"], [], "_rows > 1").groupBy("rep").agg(
         F.collect_list(F.when(F.col("band") < BANDS, F.col("h"))).alias("left"), F.collect_list(F.when(F.col("band") >= BANDS, F.col("h"))).alias("right")
     )
     pairs = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))
@@ -175,8 +175,8 @@ def table_keys(classes: DataFrame) -> DataFrame:
 
 def _stars(rows: DataFrame, key: str) -> DataFrame:
     """(a, b): each class and the least class of its bucket."""
-    least = rows.groupBy(key).agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").drop("top")
-    return rows.join(least, key).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    met = with_groups(rows.select("rep", key), [key], [F.min("rep").alias("b"), F.max("rep").alias("_top")], "b < _top")
+    return met.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -195,8 +195,8 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, n, t, place): of each set the n - ceil(percent / 100 n) + 1 rarest shingles with their places in that order, without
     those that no other set has (they come first)."""
     tokens = sets.select("rep", F.explode("shingles").alias("t"))
-    shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    found = tokens.join(shared, "t").join(sets.select("rep", "n"), "rep")
+    shared = with_groups(tokens, ["t"], [F.count("*").alias("df")], "df > 1")
+    found = shared.join(sets.select("rep", "n"), "rep")
     own = Window.partitionBy("rep")
     ranked = found.withColumn("i", F.row_number().over(own.orderBy("df", "t"))).withColumn("m", F.count("*").over(own))
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
@@ -221,13 +221,19 @@ def _maps_fit(x: str, y: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    sized = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    both = sized.join(left, "a").join(right, "b")
+    """The pairs (a, b) of a staged table whose full sets are similar enough. A class that many pairs name, such as the
+    least of a large group, is handed to their tasks; the pairs stay where they are."""
+    often = {side: hub_keys(pairs, side) for side in ("b", "a")}
+    one = {side: sets.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}")) for side in ("a", "b")}
+
+    def joined(rows: DataFrame, *columns: str) -> DataFrame:
+        for side, hubs in often.items():
+            rows = looked_up(rows, one[side].select(side, *[f"{c}_{side}" for c in columns]), side, hubs)
+        return rows
+
+    sized = stage(joined(pairs, "n").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near-sized")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
+    return joined(sized, "n", "s").where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -238,17 +244,18 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
     """``linked`` with the text's key and the component's node."""
     sketch = sketched(docs)
-    classes = classes_of(sketch)
+    classes = stage(classes_of(sketch), "near-classes")
     keys = table_keys(classes)
     first = stage(_stars(keys, "key"), "near-stars")
     candidates = stage(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct(), "near-candidates")
     sets = full_sets(docs, classes, candidates)
     rare = rare_shingles(sets, percent)
-    links = stage(verified(first.union(_stars(rare, "t")).distinct(), sets, percent), "near-links")
+    stars = stage(first.union(_stars(rare, "t")).distinct(), "near-star-pairs")
+    links = stage(verified(stars, sets, percent), "near-links")
     groups = stage(components(links), "near-groups")
     placed = rare.join(groups, rare["rep"] == groups["node"], "left").select("rep", "n", "t", "place", F.coalesce("component", "rep").alias("c"))
-    open_ = placed.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
-    mixed = stage(placed.join(open_, "t").join(sets.select("rep", "bits"), "rep"), "near-open")
+    open_ = with_groups(stage(placed, "near-placed"), ["t"], [F.min("c").alias("_low"), F.max("c").alias("_high")], "_low < _high").drop("_low", "_high")
+    mixed = stage(open_.join(sets.select("rep", "bits"), "rep"), "near-open")
     x, y = mixed.alias("x"), mixed.alias("y")
     across = x.join(y, F.col("x.t") == F.col("y.t")).where("x.rep < y.rep AND x.c <> y.c").where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _in_reach("x", "y", percent) & _maps_fit("x", "y", percent))
     more = verified(stage(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs"), sets, percent)
