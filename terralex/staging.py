@@ -21,14 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it again: no lineage, known size, columns pruned by readers."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    spark, path = df.sparkSession, _fresh(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``stage`` with a folder for each value of ``column``, so that readers of some values open their files only."""
+    spark, path = df.sparkSession, _fresh(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     spark = df.sparkSession
