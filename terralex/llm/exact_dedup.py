@@ -1,24 +1,38 @@
 """Exact deduplication on an extendible-hash index kept in the shared folder, with DataFrame functions only.
 
+1. One pass over the texts makes (doc_id, h, text_sha256); h is a 64-bit hash of the normalised text, its key.
+2. A directory over the first bits of the keys is grown from counts per ``MAX_DEPTH``-bit prefix: a bucket with more than
+   ``CAPACITY`` keys splits by its next bit, and the directory doubles where that bit is new to it. So a bucket owns a range
+   of keys.
+3. Texts of keys that more than one row has are looked up in the directory and dealt to their bucket's owner, after equal
+   ones of a share of the tasks were combined. The owner compares their bytes; different texts of one key form a chain. The
+   index has one folder of files per bucket.
+4. Every row finds its bucket in the directory and its entry in the bucket's chain.
+
 Texts are equal when identical after lower-casing A-Z. Defined results: null text counts as empty; of equal texts the
 row with the largest doc_id stays, null ids losing to any other; rows that repeat both id and text are one document
-(the report marks them alike, ``deduplicated`` returns one of them); an empty table gives no rows.
+(the report marks them alike, ``deduplicated`` returns one of them); an empty table gives no rows; a very long text is
+one value of a column; columns other than doc_id and text, whatever their names, are handed on by ``deduplicated`` only.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.llm.keys import ascii_lower, lookup, unused
-from terralex.llm.storage import stage
+from terralex.llm.keys import ascii_lower, unused
+from terralex.llm.storage import stage, stage_by
 
 #: Bits of the hash that the directory may use; it has at most 2**MAX_DEPTH entries at any size of input.
-MAX_DEPTH = 12
-#: Keys that a bucket holds before it splits; more once the directory is full.
-CAPACITY = 50_000
+MAX_DEPTH = 14
+#: Keys that a bucket holds before it splits. Buckets that use all MAX_DEPTH bits grow beyond it.
+CAPACITY = 4096
 #: A group with more than this share of all rows is hot; at most HOT_GROUPS groups can be.
 HOT_GROUPS = 256
+#: Rows of equal texts that a bucket's owner gets at most.
+SHARES = 16
 
 
 def directory(histogram: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -27,8 +41,13 @@ def directory(histogram: dict[int, int], capacity: int, max_depth: int = MAX_DEP
     ``histogram`` counts keys by their first ``max_depth`` hash bits. An overfull bucket splits by its next bit; when
     it already uses as many bits as the directory, the directory doubles.
     """
+    before = [0, *accumulate(histogram.get(k, 0) for k in range(1 << max_depth))]
     depth, buckets, entries = 0, [(0, 0)], [0]
-    load = lambda level, prefix: sum(n for k, n in histogram.items() if k >> (max_depth - level) == prefix)
+
+    def load(level: int, prefix: int) -> int:
+        rest = max_depth - level
+        return before[(prefix + 1) << rest] - before[prefix << rest]
+
     todo = [0]
     while todo:
         b = todo.pop()
@@ -51,46 +70,61 @@ def _normal(docs: DataFrame) -> Column:
     return F.coalesce(ascii_lower(F.col("text")), F.lit(""))
 
 
+def key_of(body: Column) -> Column:
+    """The index key of a normalised text."""
+    return F.xxhash64(body)
+
+
 def _prefix(bits: int) -> Column:
     return F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def build_index(docs: DataFrame, slim: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index over keys that more than one row has: (bucket, h, chain, text_sha256, keep_id, group_size).
+class Directory:
+    """The directory as a table (entry, bucket) of at most 2**MAX_DEPTH rows, which goes with every task."""
 
-    Rows with equal keys are compared byte by byte: grouping is by the text itself, combined before the shuffle, and a
-    key's different texts form its chain. Texts whose key is unique are not moved.
-    """
-    shared = stage(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-keys")
-    histogram = {r[0]: r[1] for r in shared.groupBy(_prefix(MAX_DEPTH).alias("p")).agg(F.count("*").alias("n")).collect()}
-    depth, entries = directory(histogram, max(capacity, -(-sum(histogram.values()) * 4 // (1 << MAX_DEPTH))))
-    bucket = lookup(entries, _prefix(depth))
-    texts = docs.select("doc_id", _normal(docs).alias("body")).withColumn("h", F.xxhash64("body")).join(shared, "h", "left_semi")
-    groups = texts.groupBy("h", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    owned = groups.select(bucket.alias("bucket"), "h", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size").repartition("bucket")
+    def __init__(self, keys: DataFrame, capacity: int):
+        counts = keys.groupBy(_prefix(MAX_DEPTH).alias("p")).agg(F.count("*").alias("n")).collect()
+        self.depth, self.entries = directory({r["p"]: r["n"] for r in counts}, capacity)
+        self.table = stage(keys.sparkSession.createDataFrame(list(enumerate(self.entries)), "entry int, bucket int").coalesce(1), "dedup-directory")
+
+    def owners(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the bucket that owns their key ``h``."""
+        return rows.withColumn("entry", _prefix(self.depth)).join(F.broadcast(self.table), "entry").drop("entry")
+
+
+def build_index(docs: DataFrame, keys: DataFrame, owned: Directory) -> DataFrame:
+    """The index over keys that more than one row has: (bucket, h, chain, text_sha256, keep_id, group_size), a folder for
+    each bucket. Texts whose key is unique are not moved."""
+    texts = docs.select("doc_id", _normal(docs).alias("body")).withColumn("h", key_of(F.col("body"))).join(keys.where("n > 1").select("h"), "h", "left_semi")
+    # equal texts of a share of the tasks become one row, so that a bucket gets few rows of a text that very many rows have
+    share = F.spark_partition_id() % SHARES
+    runs = owned.owners(texts).withColumn("share", share).groupBy("share", "bucket", "h", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    dealt = runs.drop("share").repartition("bucket")
+    groups = dealt.groupBy("bucket", "h", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("text_sha256"))
-    return stage(owned.withColumn("chain", chain), "dedup-index")
+    chained = groups.select("bucket", "h", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size").withColumn("chain", chain)
+    return stage_by(chained, "dedup-index", "bucket")
 
 
 def deduped(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per row of ``docs``: its group's surviving id and size.
 
-    Groups above 1 / HOT_GROUPS of all rows, of which there are fewer than HOT_GROUPS, are looked up by broadcast;
-    their rows then carry a key of their own in the shuffled lookup of the others.
+    Groups above 1 / HOT_GROUPS of all rows, of which there are fewer than HOT_GROUPS, are looked up by broadcast; the
+    other rows are dealt to the owners of their buckets.
     """
-    slim = stage(docs.select("doc_id", _normal(docs).alias("body")).select("doc_id", F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("text_sha256")), "dedup-slim")
-    index = build_index(docs, slim, capacity)
+    slim = stage(docs.select("doc_id", _normal(docs).alias("body")).select("doc_id", key_of(F.col("body")).alias("h"), F.sha2("body", 256).alias("text_sha256")), "dedup-slim")
+    keys = stage(slim.groupBy("h").agg(F.count("*").alias("n")), "dedup-keys")
+    owned = Directory(keys, capacity)
+    index = build_index(docs, keys, owned)
     total = slim.count()
     entry = ["h", "text_sha256", "keep_id", "group_size"]
-    hot = index.where(F.col("group_size") * HOT_GROUPS > total).select(*entry).withColumnsRenamed({"keep_id": "hot_id", "group_size": "hot_size"})
-    cool = index.where(F.col("group_size") * HOT_GROUPS <= total).select(*entry)
-    rows = slim.join(F.broadcast(hot), ["h", "text_sha256"], "left")
-    rows = rows.withColumn("h", F.when(F.col("hot_size").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id")))
-    rows = rows.join(cool, ["h", "text_sha256"], "left")
-    size = F.coalesce("hot_size", "group_size", F.lit(1).cast("long"))
-    keep = F.when(F.col("hot_size").isNotNull(), F.col("hot_id")).when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
-    found = rows.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), "text_sha256")
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    hot = F.broadcast(index.where(F.col("group_size") * HOT_GROUPS > total).select(*entry))
+    cool = index.where(F.col("group_size") * HOT_GROUPS <= total).select("bucket", *entry).repartition("bucket")
+    common = slim.join(hot, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    rest = owned.owners(slim.join(hot, ["h", "text_sha256"], "left_anti")).repartition("bucket").join(cool, ["bucket", "h", "text_sha256"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    rest = rest.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    return common.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from terralex.staging import discard, shared_dir, stage
+from terralex.staging import discard, shared_dir, stage, stage_by
 
-__all__ = ["discard", "shared_dir", "ship", "stage"]
+__all__ = ["discard", "shared_dir", "ship", "stage", "stage_by"]
 
 _SHIPPED: set[str] = set()
 

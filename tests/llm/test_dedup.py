@@ -219,3 +219,34 @@ def test_no_python_in_native_plans(spark):
     docs = frame(spark, copies())
     for made in (sharding.shard_report(docs), exact_dedup.dedup_report(docs), mixing.mix_report(docs), mixing.mixed(docs.withColumn("source", F.lit("s")))):
         assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().toString())
+
+
+def test_index_lies_in_buckets(spark):
+    """The documents of a supplied table on indexes of several sizes: folders by bucket, whole key ranges, equal results."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    groups = {}
+    for r in docs.collect():
+        groups.setdefault((r.text or "").translate(LOWER), []).append(r.doc_id)
+    want = {i: (max(g), len(g)) for g in groups.values() for i in g}
+    for capacity in (1, 20, exact_dedup.CAPACITY):
+        keys = docs.select(F.xxhash64(exact_dedup._normal(docs)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+        owned = exact_dedup.Directory(keys, capacity)
+        index = exact_dedup.build_index(docs, keys, owned)
+        entries = index.collect()
+        assert len(entries) == sum(len(g) > 1 for g in groups.values())
+        held = [f.split("bucket=")[1].split("/")[0] for f in index.inputFiles()]
+        assert len(held) == len(set(held)) == len({e.bucket for e in entries})  # one owner each
+        assert all(owned.entries[(e.h & (1 << 64) - 1) >> (64 - owned.depth) if owned.depth else 0] == e.bucket for e in entries)
+        assert owned.depth == 0 if capacity > len(want) else owned.depth > 2
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.deduped(docs, capacity).collect()} == want
+
+
+def test_chains_tell_texts_of_one_key_apart(spark, monkeypatch):
+    """With a key that all texts share, the owner's chain alone tells them apart."""
+    values = [(i, f"text {i % 7}") for i in range(50)]
+    docs = spark.createDataFrame(values, "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "key_of", lambda body: F.lit(42).cast("long"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.deduped(docs, 1).collect()}
+    for i, t in values:
+        own = [j for j, u in values if u == t]
+        assert got[i] == (max(own), len(own), hashlib.sha256(t.encode()).hexdigest())
