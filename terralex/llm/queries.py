@@ -28,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hilbert_shards": _docs(sharding.shard_report),
         "op2_near_dedup": _docs(near_dedup.linked),
         "op3_exact_dedup": _docs(exact_dedup.dedup_report),
-        "op4_unigram_counts": _docs(lambda docs: token_counts.counted(docs, tokenizer_file("piece_bpe_32k.model"))),
+        "op4_unigram_counts": _docs(lambda docs: token_counts.counted(docs, tokenizer_file("piece_bpe_32k.model"), byte_fallback=True)),
         "op5_secret_scan": _docs(secret_scan.scanned),
         "op6_divergence_rules": _docs(quality_rules.judged),
         "op7_ftrl_quality": lambda spark, sf_dir: quality_classifier.quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),

@@ -1,0 +1,40 @@
+"""Second versions of what SQL can't express, written plainly from the rules, on the operators' own tables."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terralex.llm import license_scan, quality_classifier, quality_rules, secret_scan, token_counts
+from terralex.llm.queries import tokenizer_file
+
+SF = "/root/testdata/sf0.01"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_unigram_counts_with_byte_fallback(spark):
+    """Equal to the library's Unigram model with byte fallback, ties and unknown characters included."""
+    from tokenizers import Tokenizer, models
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    pieces, unknown = token_counts.load_pieces(path)
+    tok = Tokenizer(models.Unigram(pieces, unknown, True))
+    r = random.Random(5)
+    values = [None, "", " ", "a", "日本語 é\n\t", "🙂🙂 x", "  two", "naïve élève", "\x00", "x" * 300, "long " * 40_000]
+    values += ["".join(r.choice(["the ", "Maison", "é", "日", "\n", "🙂", "42", " ", "ing"]) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(values)], "doc_id long, text string, n_tokens string")
+    got = {x.doc_id: x.n_tokens for x in token_counts.counted(docs, path, byte_fallback=True).collect()}
+    for i, t in enumerate(values):
+        marked = "▁" + (t or "").replace(" ", "▁").removeprefix("▁")
+        assert got[i] == (sum(len(tok.encode(w).ids) for w in re.findall("▁[^▁]*", marked)) if t else 0), t
+    assert token_counts.counted(docs.limit(0), path, byte_fallback=True).count() == 0
+    counter = token_counts.UnigramCounter(pieces, unknown, token_counts.apart(path), True)
+    assert counter.tokens("</s> <0x41>") > 2  # control and byte pieces are text like any other
+    long = "Donaudampfschiff" * 62_500  # a million characters in one word
+    assert counter.count("▁" + long) == counter.count("▁" + long[: 16 * 100]) + 62_400 * (counter.count("▁" + long[: 16 * 101]) - counter.count("▁" + long[: 16 * 100]))
+    assert counter.tokens(long) > 0 and all(len(w) <= token_counts.LONGEST for w in counter)
