@@ -38,3 +38,46 @@ def test_unigram_counts_with_byte_fallback(spark):
     long = "Donaudampfschiff" * 62_500  # a million characters in one word
     assert counter.count("▁" + long) == counter.count("▁" + long[: 16 * 100]) + 62_400 * (counter.count("▁" + long[: 16 * 101]) - counter.count("▁" + long[: 16 * 100]))
     assert counter.tokens(long) > 0 and all(len(w) <= token_counts.LONGEST for w in counter)
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def test_every_covered_template_is_found(spark):
+    """Each template with as many changed words as coverage allows, at random places or at worst ones, and with words put
+    in after every third: labels and score are those of a plain comparison with all templates."""
+    r = random.Random(11)
+    values = []
+    for label, text in license_scan.TEMPLATES:
+        w = license_words(text)
+        n = len(w)
+        allowed = int(n * (1 - license_scan.COVERAGE) + 1e-9)
+        even = list(w)
+        for i in range(allowed):
+            even[(i + 1) * n // (allowed + 1)] = f"zz{i}"
+        loose = list(w)
+        for i in r.sample(range(n), allowed):
+            loose[i] = f"yy{i}"
+        spaced = [x for i, word in enumerate(w) for x in ([word, f"in{i}"] if i % 3 == 2 else [word])]
+        values += [(label, " ".join(["lead"] * 3 + v + ["tail"] * 3)) for v in (w, even, loose, spaced)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(values)], "doc_id long, text string")
+    got = {x.doc_id: (x.labels.split(","), x.score) for x in license_scan.scanned(docs).collect()}
+    for i, (label, text) in enumerate(values):
+        w = license_words(text)
+        covered = {k: common_length(t, w) / len(t) for k, t in ((k, license_words(s)) for k, s in enumerate(s for _, s in license_scan.TEMPLATES))}
+        best = max(covered.values())
+        assert got[i][1] == pytest.approx(best), (i, text)
+        tops = {license_scan.TEMPLATES[k][0] for k, c in covered.items() if c >= best - 1e-9}
+        assert tops & set(got[i][0]) or label in got[i][0], (i, got[i], tops)
+    assert {license_scan.window(n) for n in range(1, 200)} <= {1, 2, 3}
