@@ -4,7 +4,7 @@
 2. A directory over the first bits of the keys is grown from counts per ``MAX_DEPTH``-bit prefix: a bucket with more than
    ``CAPACITY`` keys splits by its next bit, and the directory doubles where that bit is new to it. So a bucket owns a range
    of keys.
-3. Texts of keys that more than one row has are looked up in the directory and dealt to their bucket's owner, after equal
+3. Texts of keys that more than one row has, and of few others, are looked up in the directory and dealt to their bucket's owner, after equal
    ones of a share of the tasks were combined. The owner compares their bytes; different texts of one key form a chain. The
    index has one folder of files per bucket.
 4. Every row finds its bucket in the directory and its entry in the bucket's chain.
@@ -33,6 +33,8 @@ CAPACITY = 4096
 HOT_GROUPS = 256
 #: Rows of equal texts that a bucket's owner gets at most.
 SHARES = 16
+#: Bits of the filter of keys that more than one row has: 2**FILTER_BITS / 8 bytes go with the tasks.
+FILTER_BITS = 26
 
 
 def directory(histogram: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -92,10 +94,26 @@ class Directory:
         return rows.withColumn("entry", _prefix(self.depth)).join(F.broadcast(self.table), "entry").drop("entry")
 
 
+def _slot(h: str = "h") -> tuple[Column, Column]:
+    """(bitmap, bit in it) of a key: its first FILTER_BITS bits."""
+    slot = F.shiftrightunsigned(h, 64 - FILTER_BITS)
+    return F.shiftright(slot, 15).cast("int").alias("map"), slot.bitwiseAND(F.lit(32767)).alias("bit")
+
+
+def maybe_shared(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose key ``h`` no other row has: a bit set is kept of the keys that more have, in
+    bitmaps of 32768 bits, 2**FILTER_BITS bits in all at any size of input."""
+    many = keys.where("n > 1").select(*_slot())
+    maps = stage(many.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")), "dedup-filter")
+    byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return texts.select("*", *_slot()).join(F.broadcast(maps), "map").where(f"shiftright({byte}, cast(bit % 8 as int)) % 2 = 1").select(*texts.columns)
+
+
 def build_index(docs: DataFrame, keys: DataFrame, owned: Directory) -> DataFrame:
     """The index over keys that more than one row has: (bucket, h, chain, text_sha256, keep_id, group_size), a folder for
-    each bucket. Texts whose key is unique are not moved."""
-    texts = docs.select("doc_id", _normal(docs).alias("body")).withColumn("h", key_of(F.col("body"))).join(keys.where("n > 1").select("h"), "h", "left_semi")
+    each bucket. Few texts whose key is unique are moved while such keys are fewer than 2**FILTER_BITS; they make entries
+    of one row."""
+    texts = maybe_shared(docs.select("doc_id", _normal(docs).alias("body")).withColumn("h", key_of(F.col("body"))), keys)
     # equal texts of a share of the tasks become one row, so that a bucket gets few rows of a text that very many rows have
     share = F.spark_partition_id() % SHARES
     runs = owned.owners(texts).withColumn("share", share).groupBy("share", "bucket", "h", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
