@@ -36,9 +36,11 @@ def hub_keys(rows: DataFrame, key: str, hubs: int = HUBS) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, often: DataFrame | None) -> DataFrame:
-    """``rows`` joined to the one row of ``table`` that has their key; those of the keys ``often`` meet it by broadcast."""
+def looked_up(rows: DataFrame, table: DataFrame, key: str, often: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the one row of ``table`` that has their key (``how``: inner or left); those of the keys ``often``
+    meet it by broadcast."""
     if often is None:
-        return rows.join(table, key)
+        return rows.join(table, key, how)
     near = table.join(F.broadcast(often), key, "left_semi")  # fewer than HUBS rows
-    return rows.join(F.broadcast(near), key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(table, key))
+    hot = rows.join(F.broadcast(often), key, "left_semi").join(F.broadcast(near), key, how)
+    return hot.unionByName(rows.join(F.broadcast(often), key, "left_anti").join(table, key, how))

@@ -1,13 +1,32 @@
-"""Spatial joins by grid cells: an equi-join on cells, then the exact predicate. Cells are never smaller than the radius."""
+"""Spatial joins by grid cells: an equi-join on cells, then the exact predicate. Cells are never smaller than the radius.
+
+A null, NaN or infinite coordinate lies nowhere: it meets nothing.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex.functions import geo
 from terralex.staging import stage
 
+#: A segment is laid into at most about so many cells; one too long for that gets larger cells.
+PIECES = 1024
+
+
+def finite(*columns: Column) -> Column:
+    """Whether all are numbers."""
+    return reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns])
+
+
+def _around(x: Column, y: Column, cell: Column | float) -> Column:
+    """The nine cells around a point, as an array of structs (cx, cy)."""
+    cx, cy = geo.grid_cell(x, y, cell)
+    return F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
 
 def areas_of(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
     """(id, area_idx): the first area (area_idx, shell, holes) that contains each point, -1 for none.
@@ -18,25 +37,18 @@ def areas_of(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, c
     span = lambda f: F.sequence(F.floor(bound(f, F.array_min) / cell).cast("long"), F.floor(bound(f, F.array_max) / cell).cast("long"))
     cells = areas.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
     cx, cy = geo.grid_cell(F.col(x), F.col(y), cell)
-    placed = points.select(id_col, x, y).withColumn("cx", cx).withColumn("cy", cy)
+    placed = points.where(finite(F.col(x), F.col(y))).select(id_col, x, y).withColumn("cx", cx).withColumn("cy", cy)
     inside = geo.in_polygon(F.col(x), F.col(y), F.col("shell"), F.col("holes"))
     found = placed.join(cells, ["cx", "cy"]).where(inside).groupBy(id_col).agg(F.min("area_idx").alias("area_idx"))
     return points.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("area_idx", F.lit(-1)).alias("area_idx"))
 
 
-def _probed(df: DataFrame, x: Column, y: Column, cell: float) -> DataFrame:
-    """One row for each of the nine cells around a point."""
-    cx, cy = geo.grid_cell(x, y, cell)
-    near = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.withColumn("_cell", F.explode(near)).select("*", "_cell.cx", "_cell.cy").drop("_cell")
-
-
 def pairs_within(points: DataFrame, id_col: str, x: str, y: str, radius: float) -> DataFrame:
     """(a, b, dist), a < b: pairs of points at most ``radius`` apart."""
-    cx, cy = geo.grid_cell(F.col(x), F.col(y), radius)
-    own = points.select(F.col(id_col).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    own = own.withColumn("cx", geo.grid_cell(F.col("ax"), F.col("ay"), radius)[0]).withColumn("cy", geo.grid_cell(F.col("ax"), F.col("ay"), radius)[1])
-    other = _probed(points.select(F.col(id_col).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by")), F.col("bx"), F.col("by"), radius)
+    placed = points.where(finite(F.col(x), F.col(y))).select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cx, cy = geo.grid_cell(F.col("ax"), F.col("ay"), radius)
+    own = placed.toDF("a", "ax", "ay").withColumn("cx", cx).withColumn("cy", cy)
+    other = placed.toDF("b", "bx", "by").withColumn("cell", F.explode(_around(F.col("bx"), F.col("by"), radius))).select("b", "bx", "by", "cell.*")
     dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
     return own.join(other, ["cx", "cy"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= radius).select("a", "b", "dist")
 
@@ -44,15 +56,26 @@ def pairs_within(points: DataFrame, id_col: str, x: str, y: str, radius: float)
 def lines_within(samples: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """(sample columns, line_id, dist): distance of each sample (x, y) to each line with a segment in ``radius``.
 
-    Segments (line_id, ax, ay, bx, by) are cut into pieces no longer than a cell before they are placed.
+    Segments (line_id, ax, ay, bx, by) lie in the cells of points along them; samples look into the nine cells around
+    them. Cells have twice the radius, or for segments longer than ``PIECES`` radii as many times four as it takes, so
+    that none lies in more than about ``PIECES`` cells. Columns of the samples may have any names.
     """
-    pieces = segments.withColumn("_points", geo.densified(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), radius))
-    cells = pieces.withColumn("_p", F.explode("_points"))
-    cells = _probed(cells, F.col("_p.x"), F.col("_p.y"), 2 * radius).select("line_id", "ax", "ay", "bx", "by", "cx", "cy").distinct()
-    cx, cy = geo.grid_cell(F.col("x"), F.col("y"), 2 * radius)
-    dist = geo.segment_distance(F.col("x"), F.col("y"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])
-    near = samples.withColumn("cx", cx).withColumn("cy", cy).join(cells, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
-    return near.groupBy(*samples.columns, "line_id").agg(F.min("dist").alias("dist"))
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
+    # 4 to the power of the level times the radius is the step along the segment
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(radius)) / (PIECES * radius)) / F.log(F.lit(4.0)))).cast("int")
+    step = F.lit(float(radius)) * F.pow(F.lit(4.0), F.col("level"))
+    levelled = segments.where(finite(*ends)).select("line_id", *[c.cast("double") for c in ends]).withColumn("level", level)
+    points = geo.densified(*ends, step)
+    cells = levelled.withColumn("p", F.explode(F.array_distinct(F.transform(points, lambda p: F.struct(*[c.alias(n) for c, n in zip(geo.grid_cell(p["x"], p["y"], 2 * step), ("cx", "cy"), strict=True)]))))).select("line_id", "ax", "ay", "bx", "by", "level", "p.*")
+    levels = sorted(r[0] for r in levelled.select("level").distinct().collect())  # a few powers of four
+    at_level = lambda k: lambda c: F.struct(F.lit(k).alias("level"), c["cx"].alias("cx"), c["cy"].alias("cy"))
+    probes = [F.transform(_around(F.col("x"), F.col("y"), 2 * radius * 4.0**k), at_level(k)) for k in levels or [0]]
+    placed = samples.where(finite(F.col("x"), F.col("y"))).select(F.struct(*[F.col(f"`{c}`") for c in samples.columns]).alias("sample"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    looked = placed.withColumn("c", F.explode(F.concat(*probes))).select("sample", "x", "y", "c.*")
+    dist = geo.segment_distance(F.col("x"), F.col("y"), *ends)
+    near = looked.join(cells, ["level", "cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
+    return near.groupBy("sample", "line_id").agg(F.min("dist").alias("dist")).select("sample.*", "line_id", "dist")
 
 
 def matched_lines(samples: DataFrame, segments: DataFrame, id_col: str, mean_max: float, worst_max: float) -> DataFrame:
@@ -60,6 +83,7 @@ def matched_lines(samples: DataFrame, segments: DataFrame, id_col: str, mean_max
 
     All samples must lie within ``worst_max`` of the donor, and their mean within ``mean_max``.
     """
+    samples = samples.select(id_col, "x", "y")
     sizes = samples.groupBy(id_col).agg(F.count("*").alias("_n"))
     near = lines_within(samples, segments, worst_max)
     means = near.groupBy(id_col, "line_id").agg(F.avg("dist").alias("mean_dist"), F.max("dist").alias("max_dist"), F.count("*").alias("_hit"))
@@ -68,43 +92,61 @@ def matched_lines(samples: DataFrame, segments: DataFrame, id_col: str, mean_max
     return best.select(id_col, "m.line_id", "m.mean_dist", "m.max_dist")
 
 
+def _extent(*sides: tuple[DataFrame, str, str]) -> float:
+    """Twice the longer side of the box around all points; any two of them are nearer than that."""
+    low, high = {}, {}
+    for df, x, y in sides:
+        row = df.agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
+        for i, c in enumerate("xy"):
+            if row[2 * i] is not None:
+                low[c], high[c] = min(row[2 * i], low.get(c, row[2 * i])), max(row[2 * i + 1], high.get(c, row[2 * i + 1]))
+    return 2 * max([high[c] - low[c] for c in low], default=0.0)
+
+
 def nearest_lines(points: DataFrame, segments: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
-    """(id, line_id, dist): the nearest line of every point; the lowest line wins a tie.
+    """(id, line_id, dist): the nearest line of every point; the lowest line wins a tie. A point that lies nowhere, and
+    every point where no line does, has a null line.
 
-    Every round looks four times as far for the points that are still open, so each meets about as many segments as its
-    own neighbourhood holds; there is no limit on the final distance. Rounds end when no point is open.
+    Every round looks four times as far for the points that are still open, and only these look, so each meets about as
+    many segments as its own neighbourhood holds. Rounds end when no point is open, or once the reach spans everything.
     """
-    left = stage(points.select(id_col, F.col(x).alias("x"), F.col(y).alias("y")), "nearest-open")
-    segments = stage(segments.select("line_id", "ax", "ay", "bx", "by"), "nearest-segments")
-    near = None
-    if segments.isEmpty():
-        return left.select(id_col, F.lit(None).cast(segments.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("dist")).where(F.lit(False))
-    reach, done = cell, None
-    while True:
-        near = lines_within(left, segments, reach).groupBy(id_col).agg(F.min_by("line_id", F.struct("dist", "line_id")).alias("line_id"), F.min("dist").alias("dist"))
+    every = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    here = finite(F.col("x"), F.col("y"))
+    left = stage(every.where(here), "nearest-open")
+    held = stage(segments.where(finite(*[F.col(c) for c in ("ax", "ay", "bx", "by")])).select("line_id", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]), "nearest-segments")
+    null = [F.lit(None).cast(held.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("dist")]
+    done = every.where(~here).select("id", *null)
+    span = _extent((left, "x", "y"), (held, "ax", "ay"), (held, "bx", "by"))
+    reach, open_ = cell, not left.isEmpty() and not held.isEmpty()
+    while open_:
+        near = lines_within(left, held, reach).groupBy("id").agg(F.min_by("line_id", F.struct("dist", "line_id")).alias("line_id"), F.min("dist").alias("dist"))
         near = stage(near, "nearest-found")
-        done = near if done is None else done.unionByName(near)
-        left = stage(left.join(near, id_col, "left_anti"), "nearest-open")
-        if left.isEmpty():
-            return done
+        done = done.unionByName(near)
+        left = stage(left.join(near, "id", "left_anti"), "nearest-open")
+        open_ = reach <= span and not left.isEmpty()
         reach *= 4
+    return done.unionByName(left.select("id", *null)).select(F.col("id").alias(id_col), "line_id", "dist")
 
 
 def nearest_points(points: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
-    """(id, nearest, dist): every point's nearest other point; the lowest id wins a tie."""
-    own = points.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    left, reach, done = stage(own, "near-open"), cell, None
+    """(id, nearest, dist): every point's nearest other point; the lowest id wins a tie. A point that lies nowhere, and one
+    without another, has none and is left out.
+
+    Only points that are still open look around, each round four times as far; the others lie in one cell each.
+    """
+    own = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(finite(F.col("x"), F.col("y")))
+    left, done = stage(own, "near-open"), None
     others = left.select(F.col("id").alias("nearest"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    if left.limit(2).count() < 2:
-        return left.select("id", F.col("id").alias("nearest"), F.lit(0.0).alias("dist")).where(F.lit(False))
+    span, reach = _extent((left, "x", "y")), cell
     while True:
-        cx, cy = geo.grid_cell(F.col("x"), F.col("y"), reach)
+        looked = left.withColumn("c", F.explode(_around(F.col("x"), F.col("y"), reach))).select("id", "x", "y", "c.*")
+        cx, cy = geo.grid_cell(F.col("ox"), F.col("oy"), reach)
         dist = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
-        met = left.withColumn("cx", cx).withColumn("cy", cy).join(_probed(others, F.col("ox"), F.col("oy"), reach), ["cx", "cy"])
+        met = looked.join(others.withColumn("cx", cx).withColumn("cy", cy), ["cx", "cy"])
         near = met.where("id <> nearest").withColumn("dist", dist).where(F.col("dist") <= reach)
         near = stage(near.groupBy("id").agg(F.min(F.struct("dist", "nearest")).alias("m")).select("id", "m.nearest", "m.dist"), "near-found")
         done = near if done is None else done.unionByName(near)
         left = stage(left.join(near, "id", "left_anti"), "near-open")
-        if left.isEmpty():
+        if reach > span or left.isEmpty():
             return done
         reach *= 4

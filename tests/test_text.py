@@ -88,3 +88,51 @@ def test_street_ways(spark):
     df = spark.createDataFrame(rows, "name string, highway string, footway string")
     # Alfa and Alpha are two edits apart
     assert sorted(r.name for r in filters.street_ways(df).collect()) == ["La Coulée Verte René-Dumont", "Quai Neuf", "Rue Alfa", "Rue Alpha"]
+
+
+WEIRD = [
+    None, "", "   ", "R DES ECLUSES", "av d'artagnan", "AV D'ARTAGNAN", "bd   SAINT-JEAN DE L'ÉTÉ", "  RPT 3BIS À LA PORTE ", "Inconnue DU nord", "MAIL", "Straße DES ß", "cité é",
+    "_x008E_ a|b [sic] [italique : Paris]\x90", "_x0041_x0042_ _x009e__x00E9_", "[italique : a [b] c] [x] d]", "[ Italique:\tdeux\nlignes ] fin", "été [", "a  b\x85c", "_x00FF_x", "[]",
+    "BONJOUR. ICI PARIS", "ÉTÉ!?… «OUI» ENCORE. 3 RUES\nNON", "...A. B.C", "\nLE ROI", "mixte. Ok", "ABC.d", "123. 456",
+    "cafÃ©", "Âge d'or", "Ã©tÃ© â€™", "Ã et é", "ÃƒÂ©", "Â", "naÃ¯ve Â« x Â»", "日本Ã©",
+]
+
+
+def _calm(s, stops, lasting):
+    """Sentence case by a walk over the characters."""
+    letters = [c for c in s if c.isalpha()]
+    if sum(c.isupper() for c in letters) <= 0.7 * len(letters):
+        return s
+    wish, out = True, ""
+    for c in s.lower():
+        out += c.upper() if wish and c.isalpha() else c
+        wish = c in stops or (wish and lasting and not c.isalpha())
+    return out
+
+
+def test_columns_equal_single_values(spark):
+    """The column forms against the forms for one value and a walk over characters, on awkward texts and real ones."""
+    values = WEIRD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    values += [v.upper() for v in values if v]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    v = F.col("v")
+    made = [T.expand_abbreviations(v), T.clean_export(v), T.calm(v), T.calm_strict(v), T.repair_mojibake(v)]
+    plain = [T.expanded, T.cleaned_export, lambda s: _calm(s, ".!?…\n", True), lambda s: _calm(s, ".!?…", False), T.unmangled]
+    for row in df.select(v, *[c.alias(f"c{i}") for i, c in enumerate(made)]).collect():
+        for got, f in zip(row[1:], plain, strict=True):
+            assert got == (None if row.v is None else f(row.v)), (row.v, got)
+
+
+def test_repair_leaves_a_trace_alone():
+    def step_by_step(s):
+        for page in ("cp1252", "latin-1"):
+            try:
+                told = s.encode(page).decode()
+            except UnicodeError:
+                continue
+            if any(m in s for m in ("Ã", "Â", "â€")) and "Ã" not in told and "Â" not in told:
+                return told
+        return s
+
+    for s in [w for w in WEIRD if w] + ["Ã©?", "? Ã©�", "Ã\x81", "â€œx", "Ãª?日"]:
+        assert T.unmangled(s) == step_by_step(s), s
