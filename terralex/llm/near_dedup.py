@@ -267,10 +267,11 @@ def assigned(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFr
     """Give every row its component by its set; hot classes, fewer than HOT_CLASSES, are looked up by broadcast."""
     total = sketch.count()
     found = classes.join(groups, classes["rep"] == groups["node"], "left").select("n", "set_a", "set_b", "members", "rep", "own", F.coalesce("component", "rep").alias("component"))
+    found = stage(found, "near-found")
     # ids behind stand-ins count for their component's least id
     stood = found.where((F.col("rep") >= NO_ID) & F.col("own").isNotNull()).groupBy("component").agg(F.min("own").alias("low"))
     least = F.least(F.when(F.col("component") < NO_ID, F.col("component")), F.col("low"))
-    found = found.join(stood, "component", "left").select("n", "set_a", "set_b", "members", F.struct(F.col("component").alias("node"), least.alias("id")).alias("component"))
+    found = looked_up(found, stood, "component", hub_keys(found, "component"), "left").select("n", "set_a", "set_b", "members", F.struct(F.col("component").alias("node"), least.alias("id")).alias("component"))
     key = ["n", "set_a", "set_b"]
     hot = found.where(F.col("members") * HOT_CLASSES > total).drop("members").withColumnRenamed("component", "hot")
     cool = found.where(F.col("members") * HOT_CLASSES <= total).drop("members")
