@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralex.functions.text import content_words
+from terralex.staging import stage
 
 
 def first_value(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
@@ -44,3 +45,18 @@ def upper_median(values: Column) -> Column:
     held = F.array_sort(F.collect_list(values))
     return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
 
+
+def upper_medians(df: DataFrame, group: str, value: str, name: str = "upper_median") -> DataFrame:
+    """(group, name): ``upper_median`` of each group's values, for groups of any size.
+
+    Equal values are counted first. Ranges of (group, value) are counted next, and only the range that holds a group's
+    middle is ordered, so no task gathers a group. Null values don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.struct(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranged = stage(counts.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id()), "median-ranges")
+    own = Window.partitionBy("g")
+    sizes = ranged.groupBy("g", "range").agg(F.sum("n").alias("m"))  # a row per group and range
+    upto = F.sum("m").over(own.orderBy("range"))
+    middle = sizes.select("g", "range", (upto - F.col("m")).alias("before"), upto.alias("upto"), F.floor(F.sum("m").over(own) / 2).alias("at")).where("before <= at AND at < upto")
+    inside = ranged.join(middle, ["g", "range"]).withColumn("seen", F.col("before") + F.sum("n").over(Window.partitionBy("g", "range").orderBy("v")))
+    return inside.where("seen > at").groupBy("g").agg(F.min("v").alias(name)).select(f"g.{group}", name)

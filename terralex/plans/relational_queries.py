@@ -89,12 +89,12 @@ WHERE i = 1 OR event_type IS DISTINCT FROM before GROUP BY user_id
 
 
 def splice_point(spark, d):
-    lines = _read(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    lines = _read(spark, d, "lineitem")
     return ordered.splice_points(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_quantity", F.lit(60.0))
 
 
 SPLICE_POINT = """
-WITH r AS (SELECT l_orderkey, l_quantity, sum(l_quantity) OVER w AS reached, row_number() OVER w AS splice_pos FROM lineitem WHERE l_orderkey % 10 = 0
+WITH r AS (SELECT l_orderkey, l_quantity, sum(l_quantity) OVER w AS reached, row_number() OVER w AS splice_pos FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT l_orderkey, min(splice_pos) AS splice_pos FROM r WHERE reached >= 60 GROUP BY 1)
 SELECT f.l_orderkey, f.splice_pos::INTEGER AS splice_pos, reached - l_quantity AS before, reached FROM f JOIN r USING (l_orderkey, splice_pos)
@@ -150,31 +150,30 @@ WHERE name <> '' AND NOT regexp_matches(name, '\b\w{1,3}/\d+\b')
 
 def existing_nodes(spark, d):
     """Each order's parts that are small, in order of the line."""
-    lines = _read(spark, d, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", F.struct("l_linenumber", "l_suppkey").alias("pos"), "l_partkey")
+    lines = _read(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey").alias("pos"), "l_partkey")
     small = _read(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
     return filters.existing(lines, small, "l_orderkey", "pos", "l_partkey").select("l_orderkey", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("parts"))
 
 
 EXISTING_NODES = """
-SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_suppkey, l_partkey) AS parts FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size <= 25 WHERE l_orderkey % 5 = 0 GROUP BY 1
+SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_suppkey, l_partkey) AS parts FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size <= 25 GROUP BY 1
 """
 
 
 def shared_junctions(spark, d):
     """Pairs of suppliers that meet in a part."""
-    rows = _read(spark, d, "lineitem").where("l_partkey % 20 = 3")
-    return graph.edge_neighbours(rows, "l_partkey", "l_suppkey")
+    return graph.edge_neighbours(_read(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
-SHARED_JUNCTIONS = "SELECT a.l_suppkey, count(DISTINCT b.l_suppkey)::BIGINT AS n_neighbours FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_partkey % 20 = 3 GROUP BY 1"
+SHARED_JUNCTIONS = "WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT a.l_suppkey, count(DISTINCT b.l_suppkey)::BIGINT AS n_neighbours FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1"
 
 
 def not_fetched(spark, d):
-    """Documents of a source without a label: a work list."""
-    return sinks.missing(_read(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "source"), _read(spark, d, "labels"), "doc_id")
+    """Documents without a label: a work list."""
+    return sinks.missing(_read(spark, d, "documents").select("doc_id", "source"), _read(spark, d, "labels"), "doc_id")
 
 
-NOT_FETCHED = "SELECT doc_id, source FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
+NOT_FETCHED = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
 
 
 def source_counts(spark, d):

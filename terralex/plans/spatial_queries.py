@@ -135,12 +135,11 @@ def path_simplified(spark, d):
 
 
 def _graph(spark, d) -> DataFrame:
-    """Part-supplier edges of the rows with the largest quantity and few parts: several components."""
-    rows = _read(spark, d, "lineitem").where("l_quantity >= 49 AND l_partkey % 7 = 1")
-    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    """Part-supplier edges."""
+    return _read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
 
 
-EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 7 = 1)"
+EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem)"
 
 
 def part_components(spark, d):
@@ -181,10 +180,10 @@ EDGE_NEIGHBOURS = f"WITH {EDGES} SELECT x.b, count(DISTINCT y.b)::BIGINT AS n_ne
 
 
 def compact_ids(spark, d):
-    return graph.compact_index(_read(spark, d, "customer").where("c_acctbal > 0").select("c_name"), "c_name")
+    return graph.compact_index(_read(spark, d, "customer").select("c_name"), "c_name")
 
 
-COMPACT_IDS = "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS idx FROM customer WHERE c_acctbal > 0"
+COMPACT_IDS = "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS idx FROM customer"
 
 
 def _streets(spark, d) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from terralex.functions import fixed
 from terralex.functions import text as T
-from terralex.operators import fuzzy, ordered, resolve
+from terralex.operators import fuzzy, resolve
 from terralex.operators.filters import readable
+from terralex.operators.graph import compact_index
+from terralex.operators.skew import hub_keys, looked_up
+from terralex.staging import stage
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -141,7 +144,7 @@ def label_numbers(spark, d):
     nation, region = _read(spark, d, "nation"), _read(spark, d, "region")
     numbered = nation.withColumn("num", F.coalesce(T.label_number(F.col("n_name")), F.lit(999)))
     found = numbered.join(region.select("r_name", F.col("r_regionkey").alias("num")), "num", "left")
-    return found.select("n_name", "num", "r_name", (F.row_number().over(Window.orderBy("num", "n_nationkey")) - 1).alias("idx"))
+    return compact_index(found, "num", "n_nationkey").select("n_name", "num", "r_name", F.col("idx").cast("int").alias("idx"))
 
 
 LABEL_NUMBERS = r"""
@@ -167,9 +170,10 @@ def known_words(spark, d):
     clean = sure.select(F.explode(T.plain_words(F.col("text"), lower=True)).alias("w"))
     constants = docs.sparkSession.createDataFrame([(w,) for w in fixed.COMMON_FRENCH], "w string")
     vocabulary = clean.union(constants).distinct().withColumn("known", F.lit(1))
-    # words are counted per document before they meet the vocabulary
-    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    found = counts.join(vocabulary, "w", "left").groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.coalesce("known", F.lit(0))).alias("hits"))
+    # words are counted per document before they meet the vocabulary; words that most documents have meet it by broadcast
+    counts = stage(words.groupBy("doc_id", "w").agg(F.count("*").alias("n")), "words")
+    met = looked_up(counts, stage(vocabulary, "vocabulary"), "w", hub_keys(counts, "w"), "left")
+    found = met.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.coalesce("known", F.lit(0))).alias("hits"))
     return found.select("doc_id", "tokens", F.round(F.col("hits") / F.col("tokens"), 6).alias("ratio"), readable(F.col("tokens"), F.col("hits") / F.col("tokens")).alias("passes"))
 
 
@@ -183,30 +187,34 @@ FROM words LEFT JOIN vocab v USING (w) GROUP BY doc_id
 
 
 def recall_stats(spark, d):
-    """How much of a benchmark text each document of its class holds: mean and upper median by language."""
+    """How much of a benchmark text each document dealt to it holds: mean and upper median by language."""
     docs, bench = _read(spark, d, "documents"), _read(spark, d, "benchmark")
-    joined = docs.withColumn("item_id", F.col("doc_id") % 40).join(bench.select("item_id", F.col("text").alias("truth")), "item_id")
+    joined = docs.withColumn("item_id", F.col("doc_id") % bench.count()).join(bench.select("item_id", F.col("text").alias("truth")), "item_id")
     scored = joined.select("lang", resolve.overlap(F.col("truth"), F.col("text")).alias("recall"))
-    return scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 9).alias("mean_recall"), resolve.upper_median(F.col("recall")).alias("upper_median"))
+    means = scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 9).alias("mean_recall"))
+    medians = resolve.upper_medians(scored, "lang", "recall").withColumnRenamed("lang", "_lang")
+    return means.join(medians, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
 
 
 RECALL_STATS = """
 WITH s AS (
   SELECT lang, len(list_intersect(a, b)) / greatest(1, len(a)) AS recall FROM (
     SELECT d.lang, list_distinct(regexp_extract_all(lower(b.text), '[a-zà-ÿ]{4,}')) AS a, list_distinct(regexp_extract_all(lower(d.text), '[a-zà-ÿ]{4,}')) AS b
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40))
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)))
 SELECT lang, count(*)::BIGINT AS n, round(avg(recall), 9) AS mean_recall, list_sort(list(recall))[(count(*) // 2 + 1)::INTEGER] AS upper_median FROM s GROUP BY lang
 """
 
 
 def priority_merge(spark, d):
     """Three sources by id, by title and by id, merged in order of trust with a confidence."""
-    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("osm"), F.substring_index("text", " ", 2).alias("title"))
-    docs = docs.withColumn("osm", F.when(F.col("id") % 3 == 0, F.col("osm")))
+    title = F.substring_index("text", " ", 2).alias("title")
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("osm"), title)
     talk = _read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("reader"))
-    other = resolve.first_value(_read(spark, d, "documents").select(F.substring_index("text", " ", 2).alias("title"), F.substring("text", 40, 100).alias("archive"), F.col("doc_id").alias("ord")), "title", "archive", "ord")
+    other = resolve.first_value(_read(spark, d, "documents").select(title, F.col("text").alias("archive"), F.col("doc_id").alias("ord")), "title", "archive", "ord")
     scan = _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("scan"))
-    rows = docs.join(talk, "id", "left").join(other, "title", "left").join(scan, "id", "left")
+    # one title may stand over very many documents
+    titled = looked_up(docs, stage(other, "titles"), "title", hub_keys(docs, "title"), "left")
+    rows = titled.join(talk, "id", "left").join(scan, "id", "left")
     sources = [("osm", F.col("osm")), ("reader", F.col("reader")), ("archive", F.col("archive")), ("scan", F.col("scan"))]
     src, text = resolve.chosen(sources)
     rows = rows.withColumn("src", src).withColumn("body", text)
@@ -214,9 +222,9 @@ def priority_merge(spark, d):
 
 
 PRIORITY_MERGE = """
-WITH base AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 120) END AS osm, array_to_string(string_split(text, ' ')[1:2], ' ') AS title, text FROM documents),
+WITH base AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN text END AS osm, array_to_string(string_split(text, ' ')[1:2], ' ') AS title, text FROM documents),
 talk AS (SELECT conv_id AS id, arg_min(text, turn) AS reader FROM conversations GROUP BY 1),
-arch AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS title, arg_min(substr(text, 40, 100), doc_id) AS archive FROM documents WHERE array_to_string(string_split(text, ' ')[1:2], ' ') <> '' GROUP BY 1),
+arch AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS title, arg_min(text, doc_id) AS archive FROM documents WHERE array_to_string(string_split(text, ' ')[1:2], ' ') <> '' GROUP BY 1),
 j AS (SELECT base.id, osm, reader, archive, b.text AS scan FROM base LEFT JOIN talk USING (id) LEFT JOIN arch USING (title) LEFT JOIN benchmark b ON b.item_id = base.id),
 l AS (SELECT *, coalesce(length(osm), 0) AS a, coalesce(length(reader), 0) AS b, coalesce(length(archive), 0) AS c, coalesce(length(scan), 0) AS e FROM j),
 p AS (SELECT *, CASE WHEN a >= 80 THEN 'osm' WHEN b >= 80 THEN 'reader' WHEN c >= 80 THEN 'archive' WHEN e >= 80 THEN 'scan'
@@ -231,14 +239,18 @@ FROM w
 
 
 def line_filter(spark, d):
-    """Lines of documents that read like prose, without up to three weak leading ones, joined again in order."""
-    lines = _read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    density, lower, vowels = T.line_scores(F.col("line"))
-    scored = lines.select("doc_id", "pos", "line", density.alias("density"), lower.alias("lower"), vowels.alias("score"))
-    good = scored.where("density >= 0.6 AND lower >= 0.55 AND score >= 2")
-    kept = ordered.without_weak_head(good, "doc_id", ["pos"], F.col("score") >= 4)
-    held = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(held["line"], "\n")).alias("text_md5"))
+    """Lines of documents that read like prose, without up to three weak leading ones, joined again in order. A document
+    stays one row throughout, so nothing is shuffled."""
+
+    def scored(line):
+        density, lower, vowels = T.line_scores(line)
+        return F.struct(line.alias("line"), density.alias("density"), lower.alias("lower"), vowels.alias("score"))
+
+    good = F.filter(F.transform(F.split("text", "\n"), scored), lambda x: (x["density"] >= 0.6) & (x["lower"] >= 0.55) & (x["score"] >= 2))
+    strong = F.array_position(F.transform(F.col("good"), lambda x: x["score"] >= 4), True)
+    weak = F.least(F.lit(3), F.when(strong > 0, strong - 1).otherwise(F.size("good"))).cast("int")
+    kept = _read(spark, d, "documents").select("doc_id", good.alias("good")).select("doc_id", F.slice("good", weak + 1, F.size("good"))["line"].alias("lines"))
+    return kept.where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("text_md5"))
 
 
 LINE_FILTER = r"""
