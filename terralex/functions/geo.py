@@ -55,6 +55,51 @@ def in_polygon(x: Column, y: Column, shell: Column, holes: Column) -> Column:
     return in_ring(x, y, shell) & ~F.exists(holes, lambda h: in_ring(x, y, h))
 
 
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies on a side of the ring."""
+    n = F.size(ring)
+
+    def touches(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == n, 1).otherwise(i + 1))
+        return segment_distance(x, y, a["x"], a["y"], b["x"], b["y"]) == 0
+
+    return F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), touches)
+
+
+def sides(ring: Column) -> Column:
+    """The sides of a ring, open or closed, as an array of structs (ax, ay, bx, by) without empty ones."""
+    n = F.size(ring)
+
+    def side(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == n, 1).otherwise(i + 1))
+        return F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+
+    every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), side)
+    return F.when(n >= 2, F.filter(every, lambda s: (s["ax"] != s["bx"]) | (s["ay"] != s["by"]))).otherwise(F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>"))
+
+
+def legs(line: Column) -> Column:
+    """The segments of a line as an array of structs (a, b)."""
+    n = F.size(line)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at(line, i).alias("a"), F.try_element_at(line, i + 1).alias("b")))
+    return F.when(n >= 2, pairs).otherwise(F.slice(pairs, 1, 0))
+
+
+def segments_meet(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
+    """Whether two segments (ax, ay, bx, by) have a point in common."""
+    (pax, pay, pbx, pby), (qax, qay, qbx, qby) = p, q
+    rx, ry, sx, sy = pbx - pax, pby - pay, qbx - qax, qby - qay
+    cross = F.nullif(rx * sy - ry * sx, F.lit(0.0))
+    t, u = ((qax - pax) * sy - (qay - pay) * sx) / cross, ((qax - pax) * ry - (qay - pay) * rx) / cross
+    ends = [segment_distance(x, y, *other) == 0 for other, own in ((q, p), (p, q)) for x, y in ((own[0], own[1]), (own[2], own[3]))]
+    return F.coalesce(t.between(0, 1) & u.between(0, 1), F.lit(False)) | ends[0] | ends[1] | ends[2] | ends[3]
+
+
+def envelope_area(ring: Column) -> Column:
+    extent = lambda f: F.array_max(F.transform(ring, lambda p: p[f])) - F.array_min(F.transform(ring, lambda p: p[f]))
+    return extent("x") * extent("y")
+
+
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area, positive when counter-clockwise."""
     n = F.size(ring)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralex.functions.text import grade, within_one
+from terralex.functions.text import core_name, grade, key_core, key_core_whole, osa, within_one
 
 
 def _deletions(name: Column) -> Column:
@@ -33,3 +33,23 @@ def search(names: DataFrame, name: str, query: str, limit: int = 60, distance=F.
         return names.select(F.col(name).alias("name"), F.lit(0).alias("distance"), F.lit("").alias("grade")).where(F.lit(False))
     found = names.select(F.col(name).alias("name")).distinct().withColumn("distance", distance(F.col("name"), F.lit(query)))
     return found.orderBy("distance", F.length("name"), "name").limit(limit).withColumn("grade", grade(F.col("distance")))
+
+
+def street_keys(names: DataFrame, name: str, ordinal: str) -> DataFrame:
+    """(name, first, keys): each distinct name with its first ordinal and its keys without and with its prefix, each once,
+    empty ones left out."""
+    once = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(ordinal).alias("first"))
+    both = once.withColumn("core", key_core(F.col("name"))).withColumn("whole", key_core_whole(F.col("name")))
+    return both.select("name", "first", F.filter(F.array_distinct(F.array("core", "whole")), lambda k: k != "").alias("keys"))
+
+
+def search_keys(keyed: DataFrame, query: str, limit: int = 60) -> DataFrame:
+    """(name, distance, grade, keys): the ``limit`` nearest of ``street_keys`` by the better of their keys, then by the length
+    of the keys, then by first place. The query keeps its prefix; a key of under two characters finds nothing."""
+    wanted = core_name(query, strip=False)
+    if len(wanted) < 2:
+        return keyed.select("name", F.lit(0).alias("distance"), F.lit("").alias("grade"), "keys").where(F.lit(False))
+    far = F.lit(2_000_000_000)
+    each = [F.coalesce(osa(F.get("keys", F.lit(i)), F.lit(wanted)), far) for i in range(2)]
+    found = keyed.where(F.size("keys") > 0).withColumn("distance", F.least(*each))
+    return found.orderBy("distance", F.length(F.array_join("keys", ",")), "first").limit(limit).select("name", "distance", grade(F.col("distance")).alias("grade"), "keys")

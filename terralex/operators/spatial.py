@@ -28,8 +28,9 @@ def _around(x: Column, y: Column, cell: Column | float) -> Column:
     return F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
-def areas_of(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
-    """(id, area_idx): the first area (area_idx, shell, holes) that contains each point, -1 for none.
+def areas_of(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, cell: float, strict: bool = False) -> DataFrame:
+    """(id, area_idx): the first area (area_idx, shell, holes) that contains each point, -1 for none. ``strict`` leaves
+    out points on a shell's or hole's sides, which otherwise fall to one of the areas that share the side.
 
     Areas are cut into the grid cells of their bounding boxes, so that points meet only areas near them.
     """
@@ -39,6 +40,8 @@ def areas_of(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, c
     cx, cy = geo.grid_cell(F.col(x), F.col(y), cell)
     placed = points.where(finite(F.col(x), F.col(y))).select(id_col, x, y).withColumn("cx", cx).withColumn("cy", cy)
     inside = geo.in_polygon(F.col(x), F.col(y), F.col("shell"), F.col("holes"))
+    if strict:
+        inside &= ~geo.on_ring(F.col(x), F.col(y), F.col("shell")) & ~F.exists("holes", lambda h: geo.on_ring(F.col(x), F.col(y), h))
     found = placed.join(cells, ["cx", "cy"]).where(inside).groupBy(id_col).agg(F.min("area_idx").alias("area_idx"))
     return points.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("area_idx", F.lit(-1)).alias("area_idx"))
 

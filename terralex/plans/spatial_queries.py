@@ -19,7 +19,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _points(spark, d) -> DataFrame:
+def points(spark, d) -> DataFrame:
     at = lambda i: F.element_at("embedding", i).cast("double")
     return _read(spark, d, "embeddings").select("vec_id", "label", at(1).alias("x"), at(2).alias("y"))
 
@@ -28,7 +28,7 @@ POINTS = "p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::D
 
 
 def nearest_neighbour(spark, d):
-    return spatial.nearest_points(_points(spark, d), "vec_id", "x", "y", 0.05).select(F.col("id").alias("vec_id"), "nearest", F.round("dist", 9).alias("dist"))
+    return spatial.nearest_points(points(spark, d), "vec_id", "x", "y", 0.05).select(F.col("id").alias("vec_id"), "nearest", F.round("dist", 9).alias("dist"))
 
 
 NEAREST_NEIGHBOUR = f"""
@@ -37,9 +37,9 @@ SELECT vec_id, arg_min(nearest, row(dist, nearest)) AS nearest, round(min(dist),
 """
 
 
-def _grid_lines(spark, d) -> DataFrame:
+def grid_lines(spark, d) -> DataFrame:
     """One short street from each point with an even id to the point (y, x) scaled down."""
-    p = _points(spark, d).where("vec_id % 2 = 0")
+    p = points(spark, d).where("vec_id % 2 = 0")
     return p.select(F.col("vec_id").alias("line_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") * 0.9 + 0.02).alias("bx"), (F.col("y") * 0.8 - 0.01).alias("by"))
 
 
@@ -49,8 +49,8 @@ TO_LINE = "sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by_ - ay))
 
 
 def nearest_line(spark, d):
-    odd = _points(spark, d).where("vec_id % 2 = 1")
-    return spatial.nearest_lines(odd, _grid_lines(spark, d), "vec_id", "x", "y", 0.02).select("vec_id", "line_id", F.round("dist", 9).alias("dist"))
+    odd = points(spark, d).where("vec_id % 2 = 1")
+    return spatial.nearest_lines(odd, grid_lines(spark, d), "vec_id", "x", "y", 0.02).select("vec_id", "line_id", F.round("dist", 9).alias("dist"))
 
 
 NEAREST_LINE = f"""
@@ -60,7 +60,7 @@ SELECT vec_id, arg_min(line_id, row(dist, line_id)) AS line_id, round(min(dist),
 
 
 def within_radius(spark, d):
-    found = spatial.pairs_within(_points(spark, d), "vec_id", "x", "y", 0.02)
+    found = spatial.pairs_within(points(spark, d), "vec_id", "x", "y", 0.02)
     return found.groupBy(F.col("a").alias("vec_id")).agg(F.count("*").alias("n"), F.round(F.avg("dist"), 9).alias("mean_dist"), F.round(F.max("dist"), 9).alias("max_dist"))
 
 
@@ -72,10 +72,10 @@ SELECT vec_id, count(*)::BIGINT AS n, round(avg(dist), 9) AS mean_dist, round(ma
 
 def matched_streets(spark, d):
     """Each point's walk of four samples against the lines: within reach all along, least mean distance."""
-    p = _points(spark, d).where("vec_id % 2 = 1")
+    p = points(spark, d).where("vec_id % 2 = 1")
     steps = p.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "x", "y")
     samples = steps.select("vec_id", (F.col("x") + F.col("k") * 0.01).alias("x"), (F.col("y") - F.col("k") * 0.005).alias("y"))
-    found = spatial.matched_lines(samples, _grid_lines(spark, d), "vec_id", 0.04, 0.06)
+    found = spatial.matched_lines(samples, grid_lines(spark, d), "vec_id", 0.04, 0.06)
     return found.select("vec_id", "line_id", F.round("mean_dist", 9).alias("mean_dist"), F.round("max_dist", 9).alias("max_dist"))
 
 
@@ -95,17 +95,17 @@ def point_in_area(spark, d):
     ring = lambda r: [{"x": x, "y": y} for x, y in r]
     shape = "array<struct<x:double,y:double>>"
     areas = spark.createDataFrame([(i, ring(r), [ring(HOLE)] if i == 2 else []) for i, r in AREAS], f"area_idx int, shell {shape}, holes array<{shape}>")
-    return spatial.areas_of(_points(spark, d), areas, "vec_id", "x", "y", 0.05)
+    return spatial.areas_of(points(spark, d), areas, "vec_id", "x", "y", 0.05)
 
 
-def _in_ring_sql(ring) -> str:
+def in_ring_sql(ring) -> str:
     sides = zip(ring, [ring[-1], *ring[:-1]], strict=True)
     tests = [f"((({ay!r} > y) <> ({by!r} > y)) AND x < ({bx!r} - {ax!r}) * (y - {ay!r}) / nullif({by!r} - {ay!r}, 0) + {ax!r})::INT" for (ax, ay), (bx, by) in sides]
     return f"coalesce(({' + '.join(f'coalesce({t}, 0)' for t in tests)}) % 2 = 1, false)"
 
 
 POINT_IN_AREA = f"""
-WITH {POINTS} SELECT vec_id, CASE {' '.join(f'WHEN {_in_ring_sql(r)}' + (f' AND NOT {_in_ring_sql(HOLE)}' if i == 2 else '') + f' THEN {i}' for i, r in AREAS)} ELSE -1 END AS area_idx FROM p
+WITH {POINTS} SELECT vec_id, CASE {' '.join(f'WHEN {in_ring_sql(r)}' + (f' AND NOT {in_ring_sql(HOLE)}' if i == 2 else '') + f' THEN {i}' for i, r in AREAS)} ELSE -1 END AS area_idx FROM p
 """
 
 
@@ -193,7 +193,7 @@ def _streets(spark, d) -> DataFrame:
     shell = F.floor(F.sqrt(quarter))
     place = quarter - shell * shell
     at = lambda f, cell: F.round(F.col(f) * 4000) + cell * QUARTER_M
-    p = _points(spark, d).select(F.expr("vec_id div 4").alias("k"), at("x", F.least(place, shell)).alias("x"), at("y", F.least(shell * 2 - place, shell)).alias("y"), "vec_id")
+    p = points(spark, d).select(F.expr("vec_id div 4").alias("k"), at("x", F.least(place, shell)).alias("x"), at("y", F.least(shell * 2 - place, shell)).alias("y"), "vec_id")
     return planar.segments_of(p, "k", "vec_id", "k", "x", "y").withColumn("name", F.concat(F.lit("rue "), "name"))
 
 

@@ -14,12 +14,12 @@ from terralex.operators.skew import hub_keys, looked_up
 from terralex.staging import stage
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def fuzzy_topk(spark, d):
-    return fuzzy.search(_read(spark, d, "part"), "p_name", "blue widgit")
+    return fuzzy.search(read(spark, d, "part"), "p_name", "blue widgit")
 
 
 FUZZY_TOPK = """
@@ -30,7 +30,7 @@ ORDER BY distance, length(name), name LIMIT 60
 
 
 def typo_pairs(spark, d):
-    names = _read(spark, d, "customer").select(F.substring("c_name", 10, 9).alias("name"))
+    names = read(spark, d, "customer").select(F.substring("c_name", 10, 9).alias("name"))
     return fuzzy.close_pairs(names, names, "name").where("a < b")
 
 
@@ -41,7 +41,7 @@ SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name AND damerau
 
 
 def fuzzy_reject(spark, d):
-    part = _read(spark, d, "part")
+    part = read(spark, d, "part")
     long = F.expr("concat(p_name, ' ', p_size * 37 + p_partkey % 97)")
     left = part.where("p_size > 40").select(long.alias("name")).distinct()
     return fuzzy.without_close(left, part.where("p_size <= 35").select(long.alias("name")), "name")
@@ -55,7 +55,7 @@ SELECT name FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE damerau_levenshtein(l
 
 
 def fold_keys(spark, d):
-    docs = _read(spark, d, "documents")
+    docs = read(spark, d, "documents")
     return docs.select("doc_id", F.md5(T.key_alnum(F.col("text"))).alias("alnum_md5"), F.md5(T.key_words(F.col("text"))).alias("words_md5"))
 
 
@@ -67,7 +67,7 @@ FROM documents
 
 
 def html_to_text(spark, d):
-    return _read(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
+    return read(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
 
 
 HTML_TO_TEXT = r"""
@@ -77,14 +77,14 @@ SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
 
 
 def html_escaped(spark, d):
-    return _read(spark, d, "pages").select("page_id", F.md5(T.html_escape(F.col("html"))).alias("escaped_md5"))
+    return read(spark, d, "pages").select("page_id", F.md5(T.html_escape(F.col("html"))).alias("escaped_md5"))
 
 
 HTML_ESCAPED = "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages"
 
 
 def link_crawl(spark, d):
-    pages = _read(spark, d, "pages")
+    pages = read(spark, d, "pages")
     links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("pos", "path"))
     first = Window.partitionBy("path").orderBy("page_id", "pos")
     return links.withColumn("n", F.row_number().over(first)).where("n = 1").select("path", F.col("page_id").alias("first_page"))
@@ -97,7 +97,7 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS p
 
 
 def shout_ratio(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", T.upper_ratio(F.col("text")).alias("upper_ratio"))
+    docs = read(spark, d, "documents").select("doc_id", T.upper_ratio(F.col("text")).alias("upper_ratio"))
     return docs.withColumn("shouted", F.col("upper_ratio") > 0.7)
 
 
@@ -109,7 +109,7 @@ SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(reg
 
 def dehyphenated(spark, d):
     text = T.squeeze(T.dehyphenate(F.replace(F.col("text"), F.lit("e "), F.lit("e-\n"))))
-    return _read(spark, d, "documents").select("doc_id", F.md5(text).alias("text_md5"))
+    return read(spark, d, "documents").select("doc_id", F.md5(text).alias("text_md5"))
 
 
 DEHYPHENATED = r"""
@@ -122,7 +122,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
 def name_slugs(spark, d):
     name = F.col("p_name")
     url = T.image_url("https://example.org/", F.lit(""), F.concat(F.lit("File:"), name, F.lit(".jpg;other.jpg")))
-    return _read(spark, d, "part").select("p_partkey", T.slug(name).alias("slug"), url.alias("url"), T.h32(name).alias("h"), (F.abs(T.h32(name)) % 8).alias("palette"))
+    return read(spark, d, "part").select("p_partkey", T.slug(name).alias("slug"), url.alias("url"), T.h32(name).alias("h"), (F.abs(T.h32(name)) % 8).alias("palette"))
 
 
 NAME_SLUGS = """
@@ -134,14 +134,14 @@ FROM (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(
 
 
 def place_keys(spark, d):
-    return _read(spark, d, "supplier").select("s_suppkey", T.place_key(F.col("s_name"), F.col("s_acctbal") / 100, F.col("s_acctbal") / 37).alias("key"))
+    return read(spark, d, "supplier").select("s_suppkey", T.place_key(F.col("s_name"), F.col("s_acctbal") / 100, F.col("s_acctbal") / 37).alias("key"))
 
 
 PLACE_KEYS = "SELECT s_suppkey, s_name || '|' || printf('%.5f', s_acctbal / 100) || '|' || printf('%.5f', s_acctbal / 37) AS key FROM supplier"
 
 
 def label_numbers(spark, d):
-    nation, region = _read(spark, d, "nation"), _read(spark, d, "region")
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
     numbered = nation.withColumn("num", F.coalesce(T.label_number(F.col("n_name")), F.lit(999)))
     found = numbered.join(region.select("r_name", F.col("r_regionkey").alias("num")), "num", "left")
     return compact_index(found, "num", "n_nationkey").select("n_name", "num", "r_name", F.col("idx").cast("int").alias("idx"))
@@ -154,7 +154,7 @@ SELECT n_name, num, r_name, (row_number() OVER (ORDER BY num, n_nationkey) - 1):
 
 
 def vowel_words(spark, d):
-    return _read(spark, d, "documents").select("doc_id", T.vowel_words(F.col("text")).alias("n"))
+    return read(spark, d, "documents").select("doc_id", T.vowel_words(F.col("text")).alias("n"))
 
 
 VOWEL_WORDS = r"""
@@ -164,7 +164,7 @@ SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{3,}'), la
 
 def known_words(spark, d):
     """Share of a document's words that the clean documents' vocabulary has."""
-    docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels")
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     words = docs.select("doc_id", F.explode(T.plain_words(F.col("text"))).alias("w"))
     sure = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     clean = sure.select(F.explode(T.plain_words(F.col("text"), lower=True)).alias("w"))
@@ -188,7 +188,7 @@ FROM words LEFT JOIN vocab v USING (w) GROUP BY doc_id
 
 def recall_stats(spark, d):
     """How much of a benchmark text each document dealt to it holds: mean and upper median by language."""
-    docs, bench = _read(spark, d, "documents"), _read(spark, d, "benchmark")
+    docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark")
     joined = docs.withColumn("item_id", F.col("doc_id") % bench.count()).join(bench.select("item_id", F.col("text").alias("truth")), "item_id")
     scored = joined.select("lang", resolve.overlap(F.col("truth"), F.col("text")).alias("recall"))
     means = scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 9).alias("mean_recall"))
@@ -208,10 +208,10 @@ SELECT lang, count(*)::BIGINT AS n, round(avg(recall), 9) AS mean_recall, list_s
 def priority_merge(spark, d):
     """Three sources by id, by title and by id, merged in order of trust with a confidence."""
     title = F.substring_index("text", " ", 2).alias("title")
-    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("osm"), title)
-    talk = _read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("reader"))
-    other = resolve.first_value(_read(spark, d, "documents").select(title, F.col("text").alias("archive"), F.col("doc_id").alias("ord")), "title", "archive", "ord")
-    scan = _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("scan"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("osm"), title)
+    talk = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("reader"))
+    other = resolve.first_value(read(spark, d, "documents").select(title, F.col("text").alias("archive"), F.col("doc_id").alias("ord")), "title", "archive", "ord")
+    scan = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("scan"))
     # one title may stand over very many documents
     titled = looked_up(docs, stage(other, "titles"), "title", hub_keys(docs, "title"), "left")
     rows = titled.join(talk, "id", "left").join(scan, "id", "left")
@@ -249,7 +249,7 @@ def line_filter(spark, d):
     good = F.filter(F.transform(F.split("text", "\n"), scored), lambda x: (x["density"] >= 0.6) & (x["lower"] >= 0.55) & (x["score"] >= 2))
     strong = F.array_position(F.transform(F.col("good"), lambda x: x["score"] >= 4), True)
     weak = F.least(F.lit(3), F.when(strong > 0, strong - 1).otherwise(F.size("good"))).cast("int")
-    kept = _read(spark, d, "documents").select("doc_id", good.alias("good")).select("doc_id", F.slice("good", weak + 1, F.size("good"))["line"].alias("lines"))
+    kept = read(spark, d, "documents").select("doc_id", good.alias("good")).select("doc_id", F.slice("good", weak + 1, F.size("good"))["line"].alias("lines"))
     return kept.where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("text_md5"))
 
 
@@ -265,33 +265,33 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, md5(string_agg(line, chr(10) ORDER B
 
 def panel_lines(spark, d):
     """Prose of every document: lines trimmed at their edges, title bands and weak leading lines dropped."""
-    lines = _read(spark, d, "documents").select("doc_id", T.prose_lines(F.col("text")).alias("p"))
+    lines = read(spark, d, "documents").select("doc_id", T.prose_lines(F.col("text")).alias("p"))
     return lines.select("doc_id", F.size("p").alias("n_lines"), F.md5(F.array_join("p", "\n")).alias("prose_md5"))
 
 
 def edge_trim(spark, d):
-    return _read(spark, d, "conversations").select("conv_id", "turn", T.trim_edges(F.col("text")).alias("trimmed"))
+    return read(spark, d, "conversations").select("conv_id", "turn", T.trim_edges(F.col("text")).alias("trimmed"))
 
 
 def core_names(spark, d):
-    part = _read(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    part = read(spark, d, "part").select("p_partkey", "p_name", "p_size")
     street = F.concat(F.lit("Rue du "), F.col("p_size"), F.lit(" "), F.col("p_name"))
     return part.select("p_partkey", T.key_core(street).alias("core"), T.key_core_whole(street).alias("whole"))
 
 
 def expanded_names(spark, d):
     name = F.upper(F.concat(F.lit("bd des "), F.col("p_name")))
-    return _read(spark, d, "part").select("p_partkey", T.expand_abbreviations(name).alias("name"))
+    return read(spark, d, "part").select("p_partkey", T.expand_abbreviations(name).alias("name"))
 
 
 def cleaned_panels(spark, d):
     text = F.col("text")
     out = [T.clean_panel(text), T.clean_export(text), T.calm(F.upper(text)), T.calm_strict(F.upper(text))]
-    return _read(spark, d, "documents").select("doc_id", *[F.md5(c).alias(n) for c, n in zip(out, ("panel", "export", "calm", "strict"), strict=True)])
+    return read(spark, d, "documents").select("doc_id", *[F.md5(c).alias(n) for c, n in zip(out, ("panel", "export", "calm", "strict"), strict=True)])
 
 
 def osa_scores(spark, d):
-    names = _read(spark, d, "part").select("p_name").distinct()
+    names = read(spark, d, "part").select("p_name").distinct()
     return names.select("p_name", T.osa(F.col("p_name"), F.lit("bleu widget")).alias("distance"))
 
 
