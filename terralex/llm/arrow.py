@@ -12,8 +12,9 @@ from pyspark.sql.types import StructType
 from terralex.llm.storage import ship
 
 
-def mapped(df: DataFrame, keep: list[str], columns: str, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Columns ``keep`` of ``df`` followed by ``columns`` (DDL), which ``fn`` gives for each batch as lists or arrays."""
+def mapped(df: DataFrame, keep: list[str], columns: str, fn: Callable[[pa.RecordBatch], list], after: Callable[[], None] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``df`` followed by ``columns`` (DDL), which ``fn`` gives for each batch as lists or arrays.
+    ``after`` is called at the end of a task: workers outlive it, so what it remembered should not."""
     ship(df.sparkSession)
     ddl = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [columns])
     schema = to_arrow_schema(StructType.fromDDL(ddl))
@@ -23,5 +24,8 @@ def mapped(df: DataFrame, keep: list[str], columns: str, fn: Callable[[pa.Record
             made = [batch.column(c) for c in keep] + list(fn(batch))
             arrays = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, schema, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        if after:
+            after()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, ddl)

@@ -52,15 +52,17 @@ class TokenAutomaton:
         self.copied, self.lacks, self.made = [0], [-1], [-1]
         self.target = {t: 0 for t in labels}
         self.born = {t: -1 for t in labels if t not in self.rule}
-        self._has: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}
         for k, (u, v, w) in enumerate(merges):
             if self.born.get(u, k) >= k or self.born.get(v, k) >= k:
                 raise ValueError("a merge uses a token that a later merge makes")
             self._gadget(k, u, v, w)
-        self.ids = {b: t for t, b in labels.items() if t in self.born}
+        self.known.clear()
         #: Labels as a tree of bytes; -1 holds the token that ends at a node.
         self.trie: dict = {}
-        for label, token in self.ids.items():
+        for token, label in labels.items():
+            if token not in self.born:
+                continue
             node = self.trie
             for byte in label:
                 node = node.setdefault(byte, {})
@@ -80,7 +82,7 @@ class TokenAutomaton:
     def has(self, state: int, token: int) -> bool:
         """Whether ``state`` has an arc labelled ``token``."""
         key = state << 32 | token
-        known = self._has.get(key)
+        known = self.known.get(key)
         if known is None:
             made, lacks, born = self.made, self.lacks, self.born
             while True:
@@ -94,9 +96,9 @@ class TokenAutomaton:
                 else:
                     known = True
                     break
-            if len(self._has) >= TABLED:
-                self._has.clear()
-            self._has[key] = known
+            if len(self.known) >= TABLED:
+                self.known.clear()
+            self.known[key] = known
         return known
 
     def encode(self, word: bytes) -> list[int]:
@@ -147,6 +149,11 @@ class Encoder(dict):
             self.labels[i] = text.encode()
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def forget(self) -> None:
+        """Drop the remembered words and arcs."""
+        self.clear()
+        self.automaton.known.clear()
+
     def __missing__(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
         out = array("I", self.automaton.encode(data)).tobytes()  # little-endian hosts
@@ -195,7 +202,7 @@ def _coded(docs: DataFrame, source: str, tokenizer: str, columns: str, row) -> D
         rows = [row(coder, v) for v in batch.column(source).to_pylist()]
         return list(zip(*rows, strict=True)) if rows else [[] for _ in columns.split(",")]
 
-    return mapped(docs.select("doc_id", source), ["doc_id"], columns, fn)
+    return mapped(docs.select("doc_id", source), ["doc_id"], columns, fn, lambda: encoder(spec).forget())
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:

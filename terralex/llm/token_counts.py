@@ -125,4 +125,4 @@ def counted(docs: DataFrame, model: str, byte_fallback: bool = False) -> DataFra
         texts = [t or "" for t in batch.column("text").to_pylist()]
         return [[counter.tokens(t) for t in texts], [len(t) for t in texts]]
 
-    return mapped(docs.select("doc_id", "text"), ["doc_id"], "n_tokens long, n_chars long", fn)
+    return mapped(docs.select("doc_id", "text"), ["doc_id"], "n_tokens long, n_chars long", fn, lambda: _counter(pieces, unknown, left_out, byte_fallback).clear())
