@@ -69,6 +69,15 @@ def export_position(df: DataFrame, point: str = "geo_point_2d", x: str = "x_4326
     return df.withColumn("lat", lat).withColumn("lon", lon).where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
+PLAQUE = f"geo_point_2d {POINT}, x_4326 DOUBLE, y_4326 DOUBLE, titre STRING, retranscription STRING, adresse STRING"
+
+
+def plaques(spark: SparkSession, path: str) -> DataFrame:
+    """An export of plaques: one JSON array of records; a missing file gives no rows. ``id`` numbers them by content."""
+    rows = optional(spark, path, PLAQUE, multiLine=True)
+    return rows.withColumn("id", F.xxhash64(*rows.columns))
+
+
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """(properties columns, kind, rings): polygon features; a missing file gives no rows.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from terralex.operators.ordered import first_writers
+from terralex.staging import discard, stage
 
 
 def write_script_json(df: DataFrame, path: str, variable: str, order: list[str]) -> None:
@@ -52,8 +53,40 @@ def table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame
     return spark.read.schema(schema).parquet(path)
 
 
+#: Folders of a table's key index; a batch reads those that its own keys fall into.
+PARTS = 64
+
+
+def _part(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+
+
+def _index(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
+    """(keys, part) of all rows of a table, kept beside it. Files of the table that the index doesn't know yet, such as
+    those of the last batch or of one that was cut short, are read and added first; a key that is added twice does no
+    harm."""
+    home = f"{path}.keys"
+    own = StructType([schema[k] for k in keys])
+    kept = StructType([*own.fields, StructField("part", IntegerType())])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [str(f.getPath()) for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet")] if fs.exists(at) else []
+    known = {r["file"] for r in table(spark, f"{home}/files", "file string").collect()}
+    new = [f for f in files if f.rsplit("/", 1)[1] not in known]
+    if new:
+        spark.read.schema(own).parquet(*new).withColumn("part", _part(keys)).repartition("part").write.mode("append").partitionBy("part").parquet(f"{home}/rows")
+        spark.createDataFrame([(f.rsplit("/", 1)[1],) for f in new], "file string").coalesce(1).write.mode("append").parquet(f"{home}/files")
+    return table(spark, f"{home}/rows", kept)
+
+
 def insert_new(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Append the first row of each key that the table doesn't have; running it again changes nothing."""
-    fresh = first_writers(rows, keys, order)
-    have = table(rows.sparkSession, path, rows.schema).select(*keys)
+    """Append the first row of each key that the table doesn't have; running it again changes nothing.
+
+    The table's keys are looked up in an index by hash, of which only the folders of the batch's keys are read.
+    """
+    spark = rows.sparkSession
+    fresh = stage(first_writers(rows, keys, order), "upsert")
+    parts = [r["part"] for r in fresh.select(_part(keys).alias("part")).distinct().collect()]  # at most PARTS
+    have = _index(spark, path, keys, rows.schema).where(F.col("part").isin(parts)).select(*keys)
     fresh.join(have, keys, "left_anti").write.mode("append").parquet(path)
+    discard(fresh)

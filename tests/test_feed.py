@@ -28,3 +28,44 @@ def test_live_and_roster(spark, tmp_path):
     query = feed.notify_updates(feed.roster(feed.feed(spark, src)), lambda batch, i: states.extend(batch.collect()), str(tmp_path / "r"))
     assert feed.finish(query, 120)
     assert {(r.by, r.gone) for r in states} >= {("x", False), ("y", False)}
+
+
+def test_room_reads_history_after_the_stream(spark, tmp_path):
+    from terralex.streaming.room import Room
+
+    src = str(tmp_path / "in")
+    rows(spark, [("A", f"k{i:03d}", "x", i % 60) for i in range(25)] + [("B", "k", "y", 1)]).write.mode("append").parquet(src)
+    seen = []
+    room = Room(spark, src, lambda batch, live: seen.append((live, sorted(r.key for r in batch.collect()), {r.room for r in batch.collect()})), page=10)
+    assert not room.join("not a room") and not room.join(None) and room.epoch == 0
+    assert room.join(" a ")
+    room.query.processAllAvailable()
+    pages = [keys for live, keys, _ in seen if not live]
+    assert [len(p) for p in pages] == [10, 10, 5] and sorted(sum(pages, [])) == [f"k{i:03d}" for i in range(25)]
+    rows(spark, [("A", "new", "x", 1), ("B", "other", "x", 1)]).write.mode("append").parquet(src)
+    room.query.processAllAvailable()
+    assert "new" in {k for live, keys, _ in seen if live for k in keys} and {r for *_, own in seen for r in own} == {"A"}
+    # an older epoch's rows are dropped, and joining anew leaves the old room
+    old = room.query
+    assert room.join("B") and not old.isActive and room.code == "B"
+    room.leave()
+    assert room.query is None and room.code is None
+    assert Room(spark, str(tmp_path / "none"), lambda *_: None).history("A", lambda: False) is False
+
+
+def test_room_retries_and_gives_up(spark):
+    import pytest
+
+    from terralex.streaming.room import retried
+
+    waits, tries = [], []
+
+    def fails():
+        tries.append(1)
+        raise OSError("gone")
+
+    with pytest.raises(OSError):
+        retried(fails, sleep=waits.append)
+    assert len(tries) == 3 and waits == [0.5, 1.0]
+    assert retried(fails, wanted=lambda: False, sleep=waits.append) is None and len(tries) == 4
+    assert retried(lambda: 7) == 7

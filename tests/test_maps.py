@@ -122,3 +122,31 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("r", "k", 1), ("r", "l", 3), ("s", "k", 9)]
     sinks.swap(spark.read.parquet(path).withColumn("more", F.lit(1)), path)
     assert spark.read.parquet(path).columns == ["room", "key", "ts", "more"]
+
+
+def test_insert_reads_its_keys_only(spark, tmp_path):
+    """Batches after a cut-short one, over all folders of the index: each key once, and only the folders asked for read."""
+    path = str(tmp_path / "t")
+    batch = lambda a, b, tag: spark.range(a, b).select(F.col("id").alias("key"), F.lit(tag).alias("by"), F.col("id").alias("ts"))
+    sinks.insert_new(batch(0, 300, "x"), path, ["key"], ["ts"])
+    batch(300, 310, "cut short").write.mode("append").parquet(path)  # rows whose keys no index has
+    sinks.insert_new(batch(250, 400, "y"), path, ["key"], ["ts"])
+    sinks.insert_new(batch(0, 400, "z"), path, ["key"], ["ts"])
+    got = {r.key: r.by for r in spark.read.parquet(path).collect()}
+    assert spark.read.parquet(path).count() == 400 == len(got)
+    assert all(got[k] == ("x" if k < 300 else "cut short" if k < 310 else "y") for k in got)
+    one = sinks._index(spark, path, ["key"], spark.read.parquet(path).schema).where(F.col("part").isin([3]))
+    assert 0 < one.count() < 30 and "PartitionFilters: [" in one._jdf.queryExecution().toString()
+    sinks.insert_new(batch(0, 0, "none"), path, ["key"], ["ts"])
+    assert spark.read.parquet(path).count() == 400
+
+
+def test_plaque_export_and_stored_pages(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"geo_point_2d": {"lat": 1.0, "lon": 2.0}, "titre": "É"}, {"x_4326": 3.0, "y_4326": 0, "titre": "none"}, {"x_4326": 3.0, "y_4326": 4.0}]))
+    rows = maps.export_position(maps.plaques(spark, str(tmp_path / "p.json"))).collect()
+    assert sorted((r.lat, r.lon) for r in rows) == [(1.0, 2.0), (4.0, 3.0)] and len({r.id for r in rows}) == 2
+    assert maps.plaques(spark, str(tmp_path / "none.json")).count() == 0
+    page = lambda t: f"<b>{t}</b> Histoire de Paris {t} fut bâti"
+    crawled = spark.createDataFrame([("paris/a.htm", page("A"))], "path string, html string")
+    stored = spark.createDataFrame([("paris/a.htm", page("old")), ("paris/b.htm", page("B")), ("paris/c_liste.htm", page("C"))], "path string, html string")
+    assert sorted((r.path, r.title, r.text) for r in pages.mined(crawled, stored, 5).collect()) == [("paris/a.htm", "A", "fut bâti"), ("paris/b.htm", "B", "fut bâti")]
