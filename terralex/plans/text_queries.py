@@ -273,17 +273,44 @@ def edge_trim(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.trim_edges(F.col("text")).alias("trimmed"))
 
 
+#: The rules' fixed lists as SQL.
+_SHORT = str(fixed.SHORT_FRENCH)
+EDGE_TRIM = rf"""
+WITH t AS (SELECT conv_id, turn, text, regexp_split_to_array(regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[\s\p{{Z}}]+') AS w FROM conversations),
+b AS (SELECT *, list_transform(w, lambda x: trim(x, '.,;:!?"''()[]«»')) AS bare FROM t),
+g AS (SELECT *, list_transform(bare, lambda x: (length(x) >= 3 AND regexp_matches(lower(x), '[{fixed.VOWELS}]')) OR list_contains({_SHORT}, lower(x)) OR regexp_matches(x, '^\p{{Lu}}{{2,5}}$')) AS good FROM b),
+p AS (SELECT *, list_position(good, true) AS first, len(good) + 1 - list_position(list_reverse(good), true) AS last FROM g)
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN first > 0 THEN array_to_string(w[first:last], ' ') ELSE '' END AS trimmed FROM p
+"""
+
+
 def core_names(spark, d):
     part = read(spark, d, "part").select("p_partkey", "p_name", "p_size")
     street = F.concat(F.lit("Rue du "), F.col("p_size"), F.lit(" "), F.col("p_name"))
     return part.select("p_partkey", T.key_core(street).alias("core"), T.key_core_whole(street).alias("whole"))
 
 
+#: The numbers from 1 to 50 as keys spell them.
+_NUMBERS = """un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dixsept dixhuit dixneuf vingt vingtetun vingtdeux vingttrois vingtquatre
+vingtcinq vingtsix vingtsept vingthuit vingtneuf trente trenteetun trentedeux trentetrois trentequatre trentecinq trentesix trentesept trentehuit trenteneuf quarante quaranteetun
+quarantedeux quarantetrois quarantequatre quarantecinq quarantesix quarantesept quarantehuit quaranteneuf cinquante""".split()
+CORE_NAMES = f"""
+WITH n AS (SELECT p_partkey, {_NUMBERS}[p_size] || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS core FROM part)
+SELECT p_partkey, core, 'ruedu' || core AS whole FROM n
+"""
+
+
 def expanded_names(spark, d):
     name = F.upper(F.concat(F.lit("bd des "), F.col("p_name")))
     return read(spark, d, "part").select("p_partkey", T.expand_abbreviations(name).alias("name"))
 
 
+EXPANDED_NAMES = f"""
+WITH t AS (SELECT p_partkey, list_transform(string_split('DES ' || upper(p_name), ' '), lambda w: w[1] || lower(w[2:])) AS w FROM part)
+SELECT p_partkey, 'Boulevard ' || array_to_string(list_transform(w, lambda x: CASE WHEN list_contains({sorted(fixed.LOWERED - {"D'", "L'"})}, x) THEN lower(x) ELSE x END), ' ') AS name FROM t
+"""
+
+
 def cleaned_panels(spark, d):
     text = F.col("text")
     out = [T.clean_panel(text), T.clean_export(text), T.calm(F.upper(text)), T.calm_strict(F.upper(text))]
@@ -314,9 +341,9 @@ ALL = {
     "priority_merge": (priority_merge, PRIORITY_MERGE),
     "line_filter": (line_filter, LINE_FILTER),
     "panel_lines": (panel_lines, None),
-    "edge_trim": (edge_trim, None),
-    "core_names": (core_names, None),
-    "expanded_names": (expanded_names, None),
+    "edge_trim": (edge_trim, EDGE_TRIM),
+    "core_names": (core_names, CORE_NAMES),
+    "expanded_names": (expanded_names, EXPANDED_NAMES),
     "cleaned_panels": (cleaned_panels, None),
     "osa_scores": (osa_scores, None),
 }
