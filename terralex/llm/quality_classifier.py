@@ -4,8 +4,10 @@ A document's score is the logistic of a bias and the dot product of the weights
 model is fitted on at most ``TRAIN_ROWS`` labelled documents, the first in a fixed pseudo-random order of ids, whose
 crc32(doc_id as text) mod 5 isn't 0; everything else is scored in full.
 
-Defined results: null counts as empty and scores the bias alone; a label given more than once counts if all agree; without labels
-every score is 0.5; a null id is never trained on and not held out.
+Defined results: null counts as empty and scores the bias alone; a label given more than once counts if all agree; a
+labelled id with several texts counts with one of them, the same on every run; without labels every score is 0.5; a null
+id is never trained on and not held out; repeated rows score alike; an empty table gives no rows; a very long text is read
+in pieces; columns other than doc_id and text, whatever their names, are only handed on by ``accepted``.
 """
 
 from __future__ import annotations
@@ -68,20 +70,22 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_high"))
     known = known.where((F.col("quality") == F.col("_high")) & (fold(F.col("doc_id")) != 0)).select("doc_id", "quality", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("place"))
     sample = known.orderBy("place", "doc_id").limit(TRAIN_ROWS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most TRAIN_ROWS rows
+    # at most TRAIN_ROWS rows
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("pick")).join(F.broadcast(sample), "doc_id")
 
     def grams(batch: pa.RecordBatch) -> list:
         pairs = [sparse(b) for w in words.split(batch.column("text")) for b in buckets(w)]
         return [[a for a, _ in pairs], [x for _, x in pairs]]
 
-    rows = stage(mapped(texts, ["place", "quality"], "at array<int>, x array<float>", grams), "classifier-sample")
+    rows = stage(mapped(texts, ["place", "quality", "pick"], "at array<int>, x array<float>", grams), "classifier-sample")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple] = {}
         for b in batches:
-            for place, y, at, x in zip(*(b.column(i).to_pylist() for i in (0, 1)), b.column(2), b.column(3), strict=True):
-                seen.setdefault(place, (at.values.to_numpy(), x.values.to_numpy().astype(np.float64), y))
-        weights = fit([seen[k] for k in sorted(seen)])
+            for place, y, pick, at, x in zip(*(b.column(i).to_pylist() for i in (0, 1, 2)), b.column(3), b.column(4), strict=True):
+                if place not in seen or pick < seen[place][0]:
+                    seen[place] = (pick, at.values.to_numpy(), x.values.to_numpy().astype(np.float64), y)
+        weights = fit([seen[k][1:] for k in sorted(seen)])
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
     made = rows.repartition(1).mapInArrow(fitted, "weights binary").first()
