@@ -392,3 +392,116 @@ def test_a_document_id_with_two_texts_trains_alike(spark):
     made = [spark.createDataFrame([r[:2] for r in own], "doc_id long, text string").repartition(n) for own, n in ((rows, 1), (rows[::-1], 3))]
     first, second = (quality_classifier.train(d, labels) for d in made)
     assert np.array_equal(first, second)
+
+
+# ---- the pipeline
+
+
+def one_of_equals(rows, text):
+    best = {}
+    for r in rows:
+        key = (r[text] or "").translate(LOWER)
+        best[key] = max(best.get(key, -1), r[0])
+    return [r for r in rows if r[0] in set(best.values())]
+
+
+def one_of_near_copies(rows, text, percent=85):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, least = {r[0]: shingles(r[text]) for r in rows}, {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                least[max(a, b)] = min(a, b)
+    return [r for r in rows if find(r[0]) == r[0]]
+
+
+def taken_to_targets(rows, text, source):
+    """Each row as often as its source's capped share asks for, in the seeded order."""
+    import hashlib
+
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[text] or ""))
+    sizes = Counter()
+    for r in rows:
+        sizes[r[source]] += size(r)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), list(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+    out = []
+    for s in names:
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        rest, seen = target[s] - whole * sizes[s], 0
+        for r in sorted((r for r in rows if r[source] == s), key=lambda r: md5(f"17:{'' if r[0] is None else r[0]}:{md5(r[text] or '')}")):
+            seen += size(r)
+            out += [r] * (whole + (size(r) > 0 and seen - size(r) / 2 <= rest) if size(r) else 0)
+    return out
+
+
+def test_pipeline_against_second_versions(spark):
+    """run() as a whole: every stage by a version of its own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    text, source = docs.columns.index("text"), docs.columns.index("source")
+    rows = [tuple(r) for r in docs.collect()]
+    score = trained(docs.collect(), labels.collect())
+    assert all(abs(score(r[text]) - 0.3) > 1e-4 for r in rows)
+    kept = one_of_near_copies(one_of_equals([r for r in rows if score(r[text]) >= 0.3], text), text)
+    tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    want = Counter()
+    for r in taken_to_targets(kept, text, source):
+        ids = tok.encode(r[text] or "", add_special_tokens=False).ids
+        want[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pipeline.run(spark, sf).collect()) == want
+
+
+def test_pipeline_stages_take_awkward_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names and no rows at all, in every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (None, "some words of a text here", "en", None, 3), (2, "", "en", "s", 0), (3, " \n", None, "s", 2), (4, long, "fr", "t", 1), (5, long + " end", "fr", "t", 1), (6, "same words as ever in here", "de", "t", 1), (6, "same words as ever in here", "de", "t", 1), (7, "x" * 100_000, "en", None, 1)]
+    extra = ["score", "_sha", "rep", "h", "bucket", "skey", "_times", "node", "text_key", "place", "share", "map"]
+    docs = spark.createDataFrame([(*r, *([i] * len(extra))) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)).repartition(3)
+    labels = spark.createDataFrame([(4, 1, 0), (6, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, step in pipeline.STAGES:
+        made, none = step(spark, docs, str(tmp_path)), step(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == made.columns, name
+        got = made.collect()
+        if name != pipeline.STAGES[-1][0]:
+            assert made.columns == docs.columns, name
+            assert made.schema == docs.schema, name
+        ids = Counter(r.doc_id for r in got)
+        if name == "exact_dedup":
+            assert ids == Counter({None: 1, 3: 1, 4: 1, 5: 1, 6: 1, 2: 1, 7: 1})  # null text is empty: 2 stands for 1
+        if name == "near_dedup":
+            assert ids == Counter({None: 1, 1: 1, 2: 1, 3: 1, 4: 1, 6: ids[6], 7: 1}) and ids[6] in (1, 2)
+        if name == "source_mix":
+            assert not {1, 2, 3} & set(ids) and all(n <= 4 for n in ids.values())
+        if name == "bpe_encoding":
+            assert len(got) == len(rows) and all(r.n_tokens == 0 for r in got if r.doc_id in (1, 2))
