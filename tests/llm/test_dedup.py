@@ -261,3 +261,26 @@ def test_filter_lets_all_shared_keys_through(spark):
     got = Counter(x.h for x in exact_dedup.maybe_shared(texts, counts).collect())
     many = {h for i, h in enumerate(keys) if i % 3 == 2}
     assert many <= set(got) and len(got) < len(many) + 20 and set(got.values()) == {1}
+
+
+def test_shards_are_written_and_skipped(spark, tmp_path):
+    """Every row once, in the report's shards, sorted along the curve; a filter on any dimension rules out most shards."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("shard", F.lit("clash"))
+    rows = docs.collect()
+    for even in (False, True):
+        path = str(tmp_path / f"s{even}")
+        ranges = sharding.write_shards(docs, path, even=even).collect()
+        back = spark.read.parquet(path)
+        assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, rows))
+        report = {r.doc_id: r.shard for r in sharding.sharded(docs, curve=sharding.curve_place(docs, even=even)).collect()}
+        assert {r.doc_id: r["_shard"] for r in back.select("doc_id", "_shard").collect()} == report
+        assert sorted((r.shard, r.n) for r in ranges) == sorted(Counter(report.values()).items())
+    # shards that a filter on one value of a dimension can't rule out, of 8
+    for dim in sharding.DIMS:
+        values = [r[dim] for r in rows if r[dim] is not None]
+        met = [sum(r[f"low_{dim}"] <= x <= r[f"high_{dim}"] for r in ranges) for x in values]
+        print(dim, sum(met) / len(met))
+        assert sum(met) / len(met) <= 6
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sum(r.n for r in sharding.write_shards(odd, str(tmp_path / "o")).collect()) == 3
+    assert sharding.write_shards(odd.limit(0), str(tmp_path / "e")).count() == 0
