@@ -1,7 +1,9 @@
 """Mixing sources to target weights by capped water-filling, with DataFrame functions only.
 
 Defined results: null or empty text has size 0 and takes nothing; null sources form one source, last in order; rows that
-repeat an id with the same text are decided together; an empty table gives an empty mix.
+repeat an id with the same text are decided together; an empty table gives an empty mix; a very long text is counted where
+it lies and moved only by readers of the mix; columns other than doc_id, text and source, whatever their names, are only
+handed on by ``mixed``.
 """
 
 from __future__ import annotations

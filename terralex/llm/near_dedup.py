@@ -1,8 +1,8 @@
 """MinHash near-deduplication with tensored banding and exact verification.
 
 Documents are linked when their sets of distinct 5-word shingles have a Jaccard similarity of at least ``percent`` / 100
-(0.85 unless said); a
-document's component is the smallest id reachable over links.
+(0.85 unless said); a document's component is the smallest id reachable over links. Banding finds the candidates and their
+first links; the links among candidates are completed by prefix filtering, which misses none.
 
 1. One pass over the texts makes, per document, the set's size and fingerprint and two collections of ``BANDS`` small
    hashes of ``ROWS`` minhashes each. The ``BANDS ** 2`` table keys are all pairs of one hash of either collection, so
@@ -19,10 +19,15 @@ document's component is the smallest id reachable over links.
    than their sets have shingles in only one of them, so no similar pair is lost. Copies are thus never expanded into
    all pairs, and no verified link depends on luck.
 
+Buckets, shingles, components and classes that many rows name are hubs: their rows stay spread over the tasks
+(``terralex.operators.skew``).
+
 Defined results: without words a document has no shingles, links with nothing and is its own component; fewer than
 five words make one shingle; null ids come after all others and never represent documents that have one; rows that
-repeat an id with the same text are one document. An id with several texts has one decision for each of them;
-``deduplicated`` leaves one row of each component, also where all its ids are null or equal.
+repeat an id with the same text are one document; an empty table gives no rows; a very long text is read in pieces and
+its set is one value of a column; columns other than doc_id and text, whatever their names, are only handed on by
+``deduplicated``. An id with several texts has one decision for each of them; ``deduplicated`` leaves one row of each
+component, also where all its ids are null or equal.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ literal is scored by the most sensitive name it reaches and by how random it loo
 
 Spans are kind:start:end in code points, end exclusive. Defined results: null counts as empty and has no spans; repeated
 rows are scanned alike; a literal that a base span covers adds no span of its own. A name keeps all of its literals, so
-a text that grows one name over n assignments costs n * n steps.
+a text that grows one name over n assignments costs n * n steps; an empty table gives no rows; of a very long text only
+the tokens of one assignment are held at a time; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,28 +70,48 @@ def randomness(literal: str) -> float:
     return min(1.0, entropy / min(4.0, math.log2(n))) * min(1.0, n / 16) ** 0.5 * (0.8 + 0.1 * min(classes, 3) - 0.1)
 
 
+class _Tokens:
+    """Tokens of a text by number, lexed when first asked for; those before the latest ``drop`` are forgotten."""
+
+    def __init__(self, text: str):
+        self.matches, self.held, self.first = LEX.finditer(text), deque(), 0
+
+    def __call__(self, i: int) -> tuple[str, re.Match] | None:
+        while i - self.first >= len(self.held):
+            m = next(self.matches, None)
+            if m is None:
+                return None
+            self.held.append((m.lastgroup if m.lastgroup != "close" else "name", m))
+        return self.held[i - self.first]
+
+    def drop(self, before: int) -> None:
+        while self.first < before and self.held:
+            self.held.popleft()
+            self.first += 1
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Name and literal spans of each assignment in order; references stand for what they were last assigned."""
     known: dict[str, list[tuple[int, int]]] = {}
-    tokens = [(m.lastgroup if m.lastgroup != "close" else "name", m) for m in LEX.finditer(text)]
-    i = 0
-    while i < len(tokens) - 1:
-        kind, m = tokens[i]
+    token, i = _Tokens(text), 0
+    while (follows := token(i + 1)) is not None:
+        kind, m = token(i)
         quoted = kind == "string" and re.fullmatch(r"[\w.\-]+", m.group("string")[1:-1] or " ")
-        if not (kind == "name" or quoted) or tokens[i + 1][0] != "op" or tokens[i + 1][1].group() not in (":=", "=>", "=", ":"):
+        if not (kind == "name" or quoted) or follows[0] != "op" or follows[1].group() not in (":=", "=>", "=", ":"):
             i += 1
+            token.drop(i)
             continue
         name = m.group("name") if kind == "name" else m.group("string")[1:-1]
         j, value = i + 2, []
-        while j < len(tokens):  # literals and references joined by + or by standing side by side
-            kind, t = tokens[j]
+        while (here := token(j)) is not None:  # literals and references joined by + or by standing side by side
+            kind, t = here
             if kind == "string":
                 value.append((t.start() + 1, t.end() - 1))
-            elif kind == "name" and t.group("name") in known and (j + 1 >= len(tokens) or tokens[j + 1][1].group() not in (":", "=")):
+            elif kind == "name" and t.group("name") in known and ((more := token(j + 1)) is None or more[1].group() not in (":", "=")):
                 value += known[t.group("name")]
             elif kind in ("name", "number", "other") and not value and j == i + 2 and (b := BARE.match(text, t.start())) and any(map(str.isdigit, b.group())):
                 value.append(b.span())
-                while j + 1 < len(tokens) and tokens[j + 1][1].start() < b.end():
+                while (more := token(j + 1)) is not None and more[1].start() < b.end():
                     j += 1
                 j += 1
                 break
@@ -102,6 +123,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             known[name] = value
             yield name, value
         i = max(j, i + 1) if value else i + 2
+        token.drop(i)
 
 
 def literal_spans(text: str) -> list[tuple[int, str, int]]:
