@@ -11,8 +11,9 @@ from terralex.functions import fixed, geo
 from terralex.functions import text as T
 from terralex.operators import filters, planar, spatial
 from terralex.operators.graph import compact_index
-from terralex.operators.resolve import chosen, confidence
+from terralex.operators.resolve import chosen, confidence, first_value
 from terralex.sources import maps
+from terralex.sources.sinks import missing
 from terralex.staging import stage
 
 SEGMENT = ("ax", "ay", "bx", "by")
@@ -191,3 +192,50 @@ def final_panels(panels: DataFrame, sources: list[str], weak: str, segments: Dat
     told = stage(told.select("id", "lat", "lon", "title", "_text", "_src", confidence(F.col("_src"), F.col("_text"), texts, weak).alias("conf")), "panels")
     near = spatial.nearest_lines(told, segments, "id", "lon", "lat", cell).select("id", F.col("line_id").alias("ei"))
     return told.join(near, "id").select("id", F.round("lat", 5).alias("la"), F.round("lon", 5).alias("lo"), F.col("title").alias("t"), F.col("_text").alias("r"), "ei", F.col("_src").alias("src"), "conf")
+
+
+def boards(found: DataFrame) -> DataFrame:
+    """(osm, lat, lon, title, subject, text, commons, image, wikidata, operator, history): information boards among map
+    elements that have a place, with cleaned texts; ``history`` tells the city's own ones."""
+    tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
+    title = T.clean_panel(F.coalesce(*[F.nullif(tag(k), F.lit("")) for k in fixed.BOARD_TITLES], F.lit("")))
+    told = maps.located(found).select(
+        F.concat_ws("/", "type", "id").alias("osm"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), title.alias("title"), F.trim(tag("description")).alias("subject"),
+        T.clean_panel(T.joined_parts(*[tag(k) for k in fixed.INSCRIPTIONS])).alias("text"), tag("wikimedia_commons").alias("commons"), tag("image").alias("image"), tag("wikidata").alias("wikidata"), tag("operator").alias("operator"),
+    )
+    return told.withColumn("history", filters.history_board(F.col("title"), F.col("operator")))
+
+
+def pictures_to_fetch(found: DataFrame, stored: DataFrame, base: str) -> DataFrame:
+    """(key, url): a work list of the city's own boards with a picture that isn't among the stored keys yet."""
+    wanted = found.where(F.col("history") & filters.with_picture(F.col("commons"), F.col("image")))
+    listed = wanted.select(T.slug(F.col("osm")).alias("key"), T.image_url(base, F.col("image"), F.col("commons")).alias("url"))
+    return missing(listed, stored, "key")
+
+
+def panel_sources(found: DataFrame, read: DataFrame, pages: DataFrame, scans: DataFrame) -> DataFrame:
+    """(id, lat, lon, title, osm, vlm, rohee, ocr): the city's own boards with what each source tells: the map, readings
+    (osm, text), archived pages (path, title, text; the first path of a title counts) and machine-read scans (osm, text)."""
+    own = found.where("history").select(F.col("osm").alias("id"), "lat", "lon", "title", F.nullif(F.col("text"), F.lit("")).alias("osm"))
+    reading = read.where(F.trim("text") != "").select(F.col("osm").alias("id"), F.trim("text").alias("vlm"))
+    page = first_value(pages.select(T.key_words(F.col("title")).alias("key"), F.col("text").alias("rohee"), "path"), "key", "rohee", "path")
+    scan = scans.select(F.col("osm").alias("id"), F.col("text").alias("ocr"))
+    keyed = own.join(reading, "id", "left").withColumn("key", T.key_words(F.col("title"))).join(page, "key", "left").drop("key")
+    return keyed.join(scan, "id", "left").select("id", "lat", "lon", "title", "osm", "vlm", "rohee", "ocr")
+
+
+def district_areas(found: DataFrame) -> DataFrame:
+    """(area_idx, label, shell, holes): boundary relations with their stitched outer ring, by number; labels without one
+    come last."""
+    rings = maps.outer_parts(found).select(T.district(F.coalesce("name", F.lit("?"))).alias("label"), planar.stitch_rings(F.col("parts")).alias("shell"))
+    numbered = rings.withColumn("_n", F.coalesce(F.col("label").try_cast("int"), F.lit(999)))
+    return compact_index(numbered, "_n", "label", name="area_idx").select("area_idx", "label", "shell", F.array().cast(f"array<{geo.LINE.simpleString()}>").alias("holes"))
+
+
+def layer_areas(df: DataFrame, *name_columns: str) -> DataFrame:
+    """(area_idx, label, shell, holes): areas of a layer (``parts``: rings) by their largest ring, numbered by what is in
+    the first of the name columns that the layer has."""
+    name = maps.first_column(df, *name_columns)
+    number = T.label_number(F.col(name))
+    rows = df.select(F.coalesce(number.cast("string"), F.col(name)).alias("label"), geo.largest_ring(F.col("parts")).alias("shell"), F.coalesce(number, F.lit(999)).alias("_n"))
+    return compact_index(rows, "_n", "label", name="area_idx").select("area_idx", "label", "shell", F.array().cast(f"array<{geo.LINE.simpleString()}>").alias("holes"))

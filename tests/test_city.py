@@ -298,3 +298,53 @@ def test_picture_bounds(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, dark array<double>")
     got = {r.i: (r.b.x0, r.b.x1) for r in df.select("i", picture.panel_bounds(F.col("dark")).alias("b")).collect()}
     assert got == {0: (5, 9), 1: (0, 10), 2: (0, 10), 3: (0, 10), 4: (2, 6), 5: (0, 4)}
+
+
+def test_boards_and_their_sources(spark, tmp_path):
+    import json
+
+    from terralex.sources import maps, sinks
+
+    tags = lambda **t: {k.replace("__", ":"): v for k, v in t.items()}
+    doc = [
+        {"type": "node", "id": 1, "lat": 48.1234567, "lon": 2.0, "tags": tags(name="Histoire de Paris 1", inscription="cons-\ntruit", inscription__2=" ", inscription__3="en 1600", wikimedia_commons="File:A b.jpg;File:c.jpg")},
+        {"type": "way", "id": 2, "center": {"lat": 48.2, "lon": 2.1}, "tags": tags(board__title="LE PONT. NEUF", operator="Ville de Paris", image="https://x/y.jpg")},
+        {"type": "node", "id": 3, "lat": 48.3, "lon": 2.2, "tags": tags(name="Other", operator="Someone", image="z")},
+        {"type": "node", "id": 4, "tags": tags(name="Histoire de Paris nowhere")},
+        {"type": "relation", "id": 5, "tags": {"name": "Paris 2e Arrondissement"}, "members": [{"type": "way", "role": "outer", "geometry": [{"lat": 0, "lon": 0}, {"lat": 0, "lon": 1}]}, {"type": "way", "role": "outer", "geometry": [{"lat": 0, "lon": 0}, {"lat": 1, "lon": 1}, {"lat": 0, "lon": 1}]}]},
+        {"type": "relation", "id": 6, "tags": {"name": "Elsewhere"}, "members": [{"type": "way", "role": "outer", "geometry": [{"lat": 5, "lon": 5}, {"lat": 5, "lon": 6}]}]},
+        {"type": "relation", "id": 7, "tags": {"name": "Paris 1er arrondissement"}, "members": [{"type": "way", "role": "outer", "geometry": [{"lat": 7, "lon": 7}, {"lat": 7, "lon": 8}]}]},
+    ]
+    (tmp_path / "raw.json").write_text(json.dumps({"elements": doc}))
+    found = maps.elements(spark, str(tmp_path / "raw.json"))
+    made = {r.osm: r for r in city.boards(found).collect()}
+    assert {k: r.history for k, r in made.items()} == {"node/1": True, "way/2": True, "node/3": False}
+    assert (made["node/1"].text, made["node/1"].lat, made["way/2"].title) == ("construit\nen 1600", 48.123457, "Le pont. neuf")
+    stored = spark.createDataFrame([("way_9",)], "key string")
+    fetch = city.pictures_to_fetch(city.boards(found), stored, "https://files/")
+    assert sorted(map(tuple, fetch.collect())) == [("node_1", "https://files/A%20b.jpg"), ("way_2", "https://x/y.jpg")]
+    sinks.write_work_list(fetch.where("key = 'way_2'"), str(tmp_path / "list"))
+    assert spark.read.text(str(tmp_path / "list")).collect()[0][0] == "way_2\thttps://x/y.jpg"
+    assert city.pictures_to_fetch(city.boards(found), fetch.select("key"), "x").count() == 0
+    read = spark.createDataFrame([("way/2", " told by eye "), ("node/1", " ")], "osm string, text string")
+    pages = spark.createDataFrame([("b", "Histoire de Paris 1", "second"), ("a", "histoire de PARIS 1", "first"), ("c", "", "none")], "path string, title string, text string")
+    scans = spark.createDataFrame([("way/2", "told by")], "osm string, text string")
+    sources = {r.id: (r.osm, r.vlm, r.rohee, r.ocr) for r in city.panel_sources(city.boards(found), read, pages, scans).collect()}
+    assert sources == {"node/1": ("construit\nen 1600", None, "first", None), "way/2": (None, "told by eye", None, "told by")}
+    segments = spark.createDataFrame([(7, 2.0, 48.0, 2.0, 48.15), (8, 2.1, 48.2, 2.3, 48.4)], "line_id long, ax double, ay double, bx double, by double")
+    final = city.final_panels(city.panel_sources(city.boards(found), read, pages, scans), ["osm", "vlm", "rohee", "ocr"], "ocr", segments, 0.02)
+    assert sorted((r.id, r.la, r.t, r.r, r.ei, r.src, r.conf) for r in final.collect()) == [("node/1", 48.12346, "Histoire de Paris 1", "construit\nen 1600", 7, "osm", "high"), ("way/2", 48.2, "Le pont. neuf", "told by eye", 8, "vlm", "high")]
+    areas = {r.area_idx: (r.label, [tuple(p) for p in r.shell]) for r in city.district_areas(found).collect()}
+    assert [areas[i][0] for i in range(3)] == ["1", "2", "Elsewhere"] and areas[1][1] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    ring = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    layer = spark.createDataFrame([("12e", [ring((0, 0), (1, 0), (1, 1)), ring((0, 0), (5, 0), (5, 5))]), ("Bois", [ring((0, 0), (1, 0), (1, 1))]), ("3e", [ring((2, 2), (3, 2), (3, 3))])], f"nom string, parts array<{city_queries.SHAPE}>")
+    assert [(r.label, r.shell[1].x) for r in city.layer_areas(layer, "nom_officiel", "nom").orderBy("area_idx").collect()] == [("3", 3.0), ("12", 5.0), ("Bois", 1.0)]
+
+
+def test_pictures_by_their_first_bytes(spark, tmp_path):
+    from terralex.sources import maps
+
+    for name, data in (("a.bin", b"\xff\xd8\xffx"), ("b.bin", b"\x89PNG\r"), ("c.bin", b"<html>"), ("d.bin", b"")):
+        (tmp_path / name).write_bytes(data)
+    assert sorted(r.path[-5:] for r in maps.images(spark, str(tmp_path)).select("path").collect()) == ["a.bin", "b.bin"]
+    assert maps.first_file(spark, str(tmp_path), ".bin").endswith("a.bin")
