@@ -150,9 +150,8 @@ class Encoder(dict):
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def forget(self) -> None:
-        """Drop the remembered words and arcs."""
+        """Drop the remembered words; arcs are fewer and stay."""
         self.clear()
-        self.automaton.known.clear()
 
     def __missing__(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from terralex.llm import words
 from terralex.llm.arrow import mapped
 from terralex.llm.keys import unused
-from terralex.llm.storage import stage
+from terralex.llm.storage import discard, stage
 from terralex.operators.graph import components
 from terralex.operators.skew import hub_keys, looked_up, with_groups
 
@@ -263,8 +263,10 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     mixed = stage(open_.join(sets.select("rep", "bits"), "rep"), "near-open")
     x, y = mixed.alias("x"), mixed.alias("y")
     across = x.join(y, F.col("x.t") == F.col("y.t")).where("x.rep < y.rep AND x.c <> y.c").where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _in_reach("x", "y", percent) & _maps_fit("x", "y", percent))
-    more = verified(stage(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs"), sets, percent)
-    groups = stage(components(links.union(more)), "near-groups")
+    pairs = stage(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs")
+    groups = stage(components(links.union(verified(pairs, sets, percent))), "near-groups")
+    for done in (keys, first, candidates, sets, rare, stars, links, mixed, pairs):
+        discard(done)
     return assigned(sketch, classes, groups)
 
 
