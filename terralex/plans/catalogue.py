@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralex.plans import city_queries, relational_queries, spatial_queries, text_queries
+from terralex.plans import city_queries, relational_queries, source_queries, spatial_queries, text_queries
 
-_ALL = text_queries.ALL | spatial_queries.ALL | relational_queries.ALL | city_queries.ALL
+_ALL = text_queries.ALL | spatial_queries.ALL | relational_queries.ALL | city_queries.ALL | source_queries.ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

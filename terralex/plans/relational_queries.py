@@ -19,7 +19,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _discoveries(spark, d) -> DataFrame:
+def discoveries(spark, d) -> DataFrame:
     """Events as discoveries: the type is the room, user and property the key; some rows break a constraint."""
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
     return _read(spark, d, "events").select(
@@ -33,14 +33,14 @@ FOUND = r"""f AS (SELECT upper(substr(event_type, 1, 12)) AS room, user_id || '|
 
 
 def first_writer_wins(spark, d):
-    return ordered.first_writers(_discoveries(spark, d), ["room", "key"], ["ts", "event_id"]).select("room", "key", "event_id")
+    return ordered.first_writers(discoveries(spark, d), ["room", "key"], ["ts", "event_id"]).select("room", "key", "event_id")
 
 
 FIRST_WRITER_WINS = f"WITH {FOUND} SELECT room, key, arg_min(event_id, row(ts, event_id)) AS event_id FROM f GROUP BY room, key"
 
 
 def constraint_quarantine(spark, d):
-    rows = _discoveries(spark, d)
+    rows = discoveries(spark, d)
     good, bad = filters.quarantined(rows, filters.constraint(*[F.col(c) for c in ("room", "key", "name", "la", "lo", "by", "color")]))
     return good.groupBy("room").agg(F.count("*").alias("n"), F.lit(True).alias("valid")).unionByName(bad.groupBy("room").agg(F.count("*").alias("n"), F.lit(False).alias("valid")))
 
@@ -109,7 +109,7 @@ LAST_ROSTERS = "SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_
 
 
 def bounded_queue(spark, d):
-    return ordered.queue_order(_discoveries(spark, d), ["room", "key"], "event_id", "lo", 500)
+    return ordered.queue_order(discoveries(spark, d), ["room", "key"], "event_id", "lo", 500)
 
 
 BOUNDED_QUEUE = f"""
@@ -187,7 +187,7 @@ SOURCE_COUNTS = "SELECT source, count(*)::BIGINT AS n, count_if(length(text) > 0
 def stream_upsert(spark, d):
     """The discovery feed as a stream of files, upserted in batches: the table it leaves."""
     base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-feed-{uuid.uuid4().hex[:12]}"
-    rows = stage(_discoveries(spark, d).drop("event_id"), "feed")
+    rows = stage(discoveries(spark, d).drop("event_id"), "feed")
     rows.repartitionByRange(4, "ts").write.parquet(f"{base}/in")
     query = feed.upsert(feed.valid(feed.feed(spark, f"{base}/in", files_per_trigger=1)), f"{base}/table", f"{base}/state")
     query.awaitTermination()
@@ -200,7 +200,7 @@ STREAM_UPSERT = f"WITH {FOUND} SELECT DISTINCT room, key FROM f WHERE la BETWEEN
 def stream_first(spark, d):
     """The stream's own deduplication, as a stream that ends."""
     base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-first-{uuid.uuid4().hex[:12]}"
-    _discoveries(spark, d).drop("event_id").write.parquet(f"{base}/in")
+    discoveries(spark, d).drop("event_id").write.parquet(f"{base}/in")
     query = feed.first_of_key(feed.feed(spark, f"{base}/in")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(feed.FOUND).parquet(f"{base}/out").select("room", "key")
@@ -211,7 +211,7 @@ STREAM_FIRST = f"WITH {FOUND} SELECT DISTINCT room, key FROM f"
 
 def history_and_live(spark, d):
     """A snapshot and the rows that came meanwhile, as one set."""
-    rows = _discoveries(spark, d).drop("event_id").where("room = 'CLICK'")
+    rows = discoveries(spark, d).drop("event_id").where("room = 'CLICK'")
     return feed.with_history(rows.where("ts < TIMESTAMP '2024-01-20'"), rows.where("ts >= TIMESTAMP '2024-01-15'")).select("key", "live")
 
 
