@@ -309,3 +309,20 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         once = left.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", key])
         left = left.join(twins, same(twins), "left_anti").unionByName(once)
     return left.select(*docs.columns)
+
+
+#: All pairs that share a shingle, by counting; DuckDB needs the time of the square of a common passage's documents.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) >= {SHINGLE} THEN list_distinct(list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS here FROM pairs UNION SELECT reach.node, pairs.b FROM reach JOIN pairs ON pairs.a = reach.here),
+low AS (SELECT node, min(here) AS here FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(here, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(here, doc_id)) AS kept FROM sets LEFT JOIN low ON node = doc_id
+"""

@@ -41,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_hilbert_shards": sharding.oracle(),
+        "op2_near_dedup": near_dedup.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op10_mix": mixing.ORACLE,
     }
