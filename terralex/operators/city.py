@@ -147,6 +147,16 @@ def street_export(edges: DataFrame, areas: DataFrame, lat0: float, cell: float =
     return planar.edge_table(edges, lat0).join(drawn, "edge").join(tagged, "edge").select("edge", "name", "km", "crossings", "paths", "area")
 
 
+def block_rings(faces: DataFrame, eps: float, digits: int) -> DataFrame:
+    """(face, ring, centre, edges, area): a map's blocks: rings simplified as closed lines, rounded, with the mean of their
+    corners; those that have fewer than three left are left out."""
+    closed = F.concat("ring", F.slice("ring", 1, 1))
+    drawn = stage(faces.withColumn("_line", geo.simplify(closed, eps)), "blocks")
+    open_ = F.slice("_line", F.lit(1), F.size("_line") - 1)
+    made = drawn.select("face", geo.rounded_ring(open_, digits).alias("ring"), geo.ring_centre(open_).alias("centre"), "edges", "area")
+    return made.where(F.size("ring") >= 3)
+
+
 def tagged_streets(streets: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """(edge, label, tag): the label of the first area (area_idx, label, shell, holes) strictly around the middle point of
     each street (edge, line), and its place among the sorted labels; -1 for none."""

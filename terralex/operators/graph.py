@@ -18,6 +18,14 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return with_groups(pairs, ["u"], [F.min("v").alias("_v")]).withColumn("m", F.least("u", "_v")).drop("_v")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges from greater to lesser nodes are stars around the least node of each component: every node has one
+    edge down, and none to a node that has one itself."""
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    onward = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return several.union(onward).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for each node of the edges (a, b); repeats and loops are harmless.
 
@@ -27,8 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     hub's neighbours.
     """
     current = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    seen = None
-    while True:
+    while not _settled(current):
         # large star: greater neighbours go to the least
         large = _stars(_neighbours(current)).where("v > u AND v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         pairs = stage(large.distinct(), "components-large")
@@ -38,10 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(current)
         discard(pairs)
         current = following
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).cast("string")).first()
-        if state == seen or not state[0]:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b")).distinct()
-        seen = state
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b")).distinct()
 
 
 def largest_component(found: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from terralex.staging import stage
 
-#: A group with more than 1 / HUBS of all rows is a hub; there are fewer than HUBS of them.
+#: A group with more than 1 / HUBS of all rows is a hub, if it has more than HUB_ROWS; there are fewer than HUBS of them.
 HUBS = 256
+HUB_ROWS = 100
 
 
 def with_groups(rows: DataFrame, keys: list[str], aggregates: list[Column], condition: str | None = None, hubs: int = HUBS) -> DataFrame:
@@ -20,19 +21,20 @@ def with_groups(rows: DataFrame, keys: list[str], aggregates: list[Column], cond
     """
     found = stage(rows.groupBy(*keys).agg(*aggregates, F.count("*").alias("_rows")), "groups")
     total, top = found.agg(F.sum("_rows"), F.max("_rows")).first()
-    kept = (found.where(condition) if condition else found).select("*", (F.col("_rows") * hubs > (total or 0)).alias("_hub")).drop("_rows")
-    if not top or top * hubs <= total:
+    least = max(HUB_ROWS, (total or 0) // hubs)
+    kept = (found.where(condition) if condition else found).select("*", (F.col("_rows") > least).alias("_hub")).drop("_rows")
+    if (top or 0) <= least:
         return rows.join(kept.drop("_hub"), keys)
     # fewer than ``hubs`` rows are broadcast
-    often = F.broadcast(found.where(F.col("_rows") * hubs > total).select(*keys))
+    often = F.broadcast(found.where(F.col("_rows") > least).select(*keys))
     rest = rows.join(often, keys, "left_anti").join(kept.where("NOT _hub").drop("_hub"), keys)
     return rows.join(F.broadcast(kept.where("_hub").drop("_hub")), keys).unionByName(rest)
 
 
 def hub_keys(rows: DataFrame, key: str, hubs: int = HUBS) -> DataFrame | None:
     """The keys, fewer than ``hubs``, that hold more than 1 / ``hubs`` of all rows each, staged; None if there are none."""
-    total = rows.count()
-    found = stage(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * hubs > total).select(key), "hubs")
+    least = max(HUB_ROWS, rows.count() // hubs)
+    found = stage(rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > least).select(key), "hubs")
     return None if found.isEmpty() else found
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.functions import geo, picture
+from terralex.functions import picture
 from terralex.functions import text as T
 from terralex.operators import city, fuzzy, planar
 from terralex.plans.spatial_queries import AREAS, HOLE, LAT0, LINES, ON_LINE, POINTS, TO_LINE, grid_lines, in_ring_sql, points
@@ -169,12 +169,11 @@ SELECT vec_id, CASE WHEN b - a < w * 0.2 THEN 0 ELSE greatest(0, a - floor((b -
 """
 
 
-def simplified_blocks(spark, d):
-    """Rings of the street town's blocks, rounded, with their centres; the largest ring of each area's blocks."""
+def block_rings(spark, d):
+    """The street town's blocks as a map shows them."""
     edges = planar.street_edges(planar.planarized(streets(spark, d)))
-    found = planar.faces(edges)
-    ring = geo.rounded_ring(geo.simplify(F.concat("ring", F.slice("ring", 1, 1)), 1.3), 3)
-    return found.select("face.a", "face.b", F.size(ring).alias("n_corners"), geo.ring_centre(F.col("ring")).alias("c")).select("a", "b", "n_corners", F.round("c.x", 3).alias("cx"), F.round("c.y", 3).alias("cy"))
+    made = city.block_rings(planar.faces(edges), 1.3, 3)
+    return made.select("face.a", "face.b", F.size("ring").alias("n_corners"), F.round("centre.x", 3).alias("cx"), F.round("centre.y", 3).alias("cy"), F.size("edges").alias("n_edges"))
 
 
 ALL = {
@@ -187,5 +186,5 @@ ALL = {
     "plaque_build": (plaque_build, None),
     "panel_final": (panel_final, PANEL_FINAL),
     "panel_crops": (panel_crops, PANEL_CROPS),
-    "block_rings": (simplified_blocks, None),
+    "block_rings": (block_rings, None),
 }

@@ -10,6 +10,7 @@ from terralex.functions import fixed, geo
 from terralex.functions import text as T
 from terralex.operators import city, planar
 from terralex.plans import city_queries, spatial_queries
+from terralex.staging import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,18 +127,21 @@ def test_clip_by_a_crossing_alone(spark):
 
 @pytest.fixture(scope="module")
 def town(spark):
-    """(edges, pieces) of the queries' street town, planarised once."""
+    """(edges, pieces, faces) of the queries' street town, made once."""
     edges = planar.street_edges(planar.planarized(spatial_queries._streets(spark, SF)))
-    return edges, edges.collect()
+    return edges, edges.collect(), stage(planar.faces(edges), "town-faces")
 
 
 def test_street_graph_and_blocks(spark, town):
     """Pieces only meet in their ends; streets, crossings and lengths by plain sums; blocks by a walk over turns."""
-    edges, pieces = town
+    edges, pieces, made = town
     ends = lambda p: ((p.ax, p.ay), (p.bx, p.by))
-    for i, p in enumerate(pieces):
-        for q in pieces[:i]:
-            if max(p.ax, p.bx) >= min(q.ax, q.bx) and max(q.ax, q.bx) >= min(p.ax, p.bx) and max(p.ay, p.by) >= min(q.ay, q.by) and max(q.ay, q.by) >= min(p.ay, p.by) and cross(ends(p), ends(q)):
+    across = sorted(pieces, key=lambda p: min(p.ax, p.bx))
+    for i, p in enumerate(across):
+        for q in across[i + 1 :]:
+            if min(q.ax, q.bx) > max(p.ax, p.bx):
+                break
+            if max(p.ay, p.by) >= min(q.ay, q.by) and max(q.ay, q.by) >= min(p.ay, p.by) and cross(ends(p), ends(q)):
                 assert {p.a, p.b} & {q.a, q.b} or min(on_segment(*e, *q_[0], *q_[1]) for e, q_ in [(e, ends(q)) for e in ends(p)] + [(e, ends(p)) for e in ends(q)]) < 0.005, (p, q)
     uses = defaultdict(set)
     for p in pieces:
@@ -206,7 +210,7 @@ def test_street_graph_and_blocks(spark, town):
         inside = [(inner[s], s) for s in inner if nets[s[0]] != nets[hole[0][0]] and in_ring(x, y, [at[a] for a, _ in by_start[s]])]
         if inside:
             inner[min(inside)[1]] += lost
-    got = {(r.a, r.b): r.area for r in planar.faces(edges).select("face.*", "area").collect()}
+    got = {(r.a, r.b): r.area for r in made.select("face.*", "area").collect()}
     assert set(got) <= set(inner) and all(abs(got[k] - inner[k]) <= 0.01 for k in got)
     # a block without a street along more than four metres of it is left out
     piece = {frozenset((p.a, p.b)): p for p in pieces}
@@ -220,7 +224,7 @@ def test_street_graph_and_blocks(spark, town):
 
 def test_street_export(spark, town):
     """Paths hold every piece once, break only where other than two pieces meet, and keep their shape within a tolerance."""
-    edges, pieces = town
+    edges, pieces, _ = town
     own = defaultdict(list)
     for p in pieces:
         own[p.edge].append(p)
@@ -246,6 +250,19 @@ def test_street_export(spark, town):
         assert r.area == next((i for i, s in enumerate(shells) if in_ring(x, y, s) and not (i == 2 and in_ring(x, y, hole))), -1)
 
 
+def test_block_rings(spark, town):
+    *_, made = town
+    faces = {(r.face.a, r.face.b): r for r in made.collect()}
+    got = {(r.face.a, r.face.b): r for r in city.block_rings(made, 1.3, 3).collect()}
+    for k, f in faces.items():
+        line = [(p.x, p.y) for p in f.ring]
+        want = simplified(line + line[:1], 1.3)[:-1]
+        assert (k in got) == (len(want) >= 3)
+        if k in got:
+            assert [(p.x, p.y) for p in got[k].ring] == [(round(x, 3), round(y, 3)) for x, y in want] and got[k].edges == f.edges
+            assert (got[k].centre.x, got[k].centre.y) == pytest.approx((sum(x for x, _ in want) / len(want), sum(y for _, y in want) / len(want)))
+
+
 def simplified(points, eps):
     """The textbook recursion."""
     if len(points) < 3:
