@@ -87,8 +87,9 @@ class Directory:
     def __init__(self, keys: DataFrame, capacity: int):
         counts = keys.groupBy(_prefix(MAX_DEPTH).alias("p")).agg(F.count("*").alias("n")).collect()
         self.depth, self.entries = directory({r["p"]: r["n"] for r in counts}, capacity)
-        listed = F.expr(f"array({','.join(map(str, self.entries))})")
-        self.table = stage(keys.sparkSession.range(1).select(F.posexplode(listed).alias("entry", "bucket")), "dedup-directory")
+        listed = F.split(F.lit(",".join(map(str, self.entries))), ",")
+        rows = keys.sparkSession.range(1).select(F.posexplode(listed).alias("entry", "bucket"))
+        self.table = stage(rows.withColumn("bucket", F.col("bucket").cast("int")), "dedup-directory")
 
     def owners(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the bucket that owns their key ``h``."""
