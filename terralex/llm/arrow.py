@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,14 @@ from pyspark.sql.types import StructType
 from terralex.llm.storage import ship
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system; it may idle beside other tasks for long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def mapped(df: DataFrame, keep: list[str], columns: str, fn: Callable[[pa.RecordBatch], list], after: Callable[[], None] | None = None) -> DataFrame:
     """Columns ``keep`` of ``df`` followed by ``columns`` (DDL), which ``fn`` gives for each batch as lists or arrays.
     ``after`` is called at the end of a task: workers outlive it, so what it remembered should not."""
@@ -26,6 +35,6 @@ def mapped(df: DataFrame, keep: list[str], columns: str, fn: Callable[[pa.Record
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         if after:
             after()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, ddl)
