@@ -16,9 +16,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, and bound the rows of an Arrow batch."""
+    """Send this package to the executors, once per application, and bound the rows and bytes of an Arrow batch."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
