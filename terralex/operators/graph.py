@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralex.operators.contract import CHUNK, contracted
+from terralex.operators.meeting import BUCKETS, GROUP, counted_lists, dealt_lists, group_starts
 from terralex.operators.skew import hub_keys, looked_up, with_groups
 from terralex.staging import discard, stage
 
@@ -88,11 +89,29 @@ def shared_nodes(members: DataFrame, node: str, edge: str, least: int = 2) -> Da
 
 
 def edge_neighbours(members: DataFrame, node: str, edge: str) -> DataFrame:
-    """(edge, n_neighbours): how many other edges meet each edge in some node."""
-    pairs = members.select(node, edge).distinct()
-    other = pairs.select(node, F.col(edge).alias("_other"))
-    met = pairs.join(other, node).where(F.col(edge) != F.col("_other")).select(edge, "_other").distinct()
-    return met.groupBy(edge).agg(F.count("*").alias("n_neighbours"))
+    """(edge, n_neighbours): how many other edges meet each edge in some node.
+
+    Edges are numbered in their order and each node becomes one row, the list of its edges. Ranges of edges make groups; a
+    list goes once into each group that it has edges of, whatever their number there, and a group's unions are counted on
+    marks in one call. A group holds about ``GROUP`` list entries at most. Edges whose lists alone hold more, fewer than one in ``GROUP``
+    entries, are counted by distinct pairs instead.
+    """
+    held = members.select(F.col(node).alias("_node"), F.col(edge).alias("_edge")).where("_node IS NOT NULL AND _edge IS NOT NULL")
+    ids = stage(compact_index(held.select("_edge").distinct(), "_edge", name="_id"), "edge-ids")
+    pairs = held.join(ids, "_edge").select("_node", F.col("_id").cast("int").alias("_id")).repartition("_node").distinct()
+    lists = stage(pairs.groupBy("_node").agg(F.collect_list("_id").alias("ids")).where("size(ids) > 1").select("ids"), "edge-lists")
+    weights = stage(lists.select(F.explode("ids").alias("_id"), F.size("ids").cast("long").alias("w")).groupBy("_id").agg(F.sum("w").alias("w")), "edge-weights")
+    hubs = [r["_id"] for r in weights.where(F.col("w") > GROUP).select("_id").collect()]  # fewer than all entries / GROUP
+    width = -(-max(1, ids.count()) // BUCKETS)
+    buckets = weights.where(F.col("w") <= GROUP).groupBy(F.expr(f"_id div {width}").alias("b")).agg(F.sum("w").alias("w")).collect()  # at most BUCKETS rows
+    starts = group_starts({r["b"]: r["w"] for r in buckets}, width)
+    dealt = lists.mapInArrow(dealt_lists(starts, hubs), "g int, ids array<int>")
+    found = dealt.groupBy("g").applyInArrow(counted_lists(starts, hubs), "_id int, n_neighbours long")
+    if hubs:
+        own = F.array(*[F.lit(h) for h in hubs])
+        met = lists.where(F.arrays_overlap("ids", own)).select(F.explode(F.array_intersect("ids", own)).alias("_id"), "ids").select("_id", F.explode("ids").alias("_other"))
+        found = found.union(met.distinct().groupBy("_id").agg((F.count("*") - 1).alias("n_neighbours")))
+    return found.join(ids, "_id").select(F.col("_edge").alias(edge), "n_neighbours")
 
 
 def compact_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:

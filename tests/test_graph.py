@@ -50,3 +50,41 @@ def test_a_hub_is_spread(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_edges_that_meet(spark, monkeypatch):
+    """Against plain sets: small groups, cut buckets, a node and an edge that hold much, edges alone, nulls and repeats."""
+    from terralex.operators import meeting
+
+    r = random.Random(3)
+    rows = [(r.randrange(300), f"e{r.randrange(200)}") for _ in range(1500)] + [(-1, f"e{i}") for i in range(150)] + [(i, "hub") for i in range(300)]
+    rows += [(900, "alone"), (901, "x"), (901, "x"), (901, "y"), (None, "x"), (902, None), (902, "y")]
+    held = {}
+    for node, edge in rows:
+        if node is not None and edge is not None:
+            held.setdefault(node, set()).add(edge)
+    met = {}
+    for edges in held.values():
+        for e in edges:
+            met.setdefault(e, set()).update(edges - {e})
+    df = spark.createDataFrame(rows, "node long, edge string").repartition(3)
+    # 500: groups of a few edges and one hub; 50: mostly hubs
+    for group, buckets in ((1 << 23, 4096), (500, 16), (50, 4096)):
+        for module in (meeting, graph):
+            monkeypatch.setattr(module, "GROUP", group)
+            monkeypatch.setattr(module, "BUCKETS", buckets)
+        found = {x.edge: x.n_neighbours for x in graph.edge_neighbours(df, "node", "edge").collect()}
+        assert found == {e: len(o) for e, o in met.items() if o}
+
+
+def test_lists_go_once_to_a_group():
+    """A node's list goes to each group of its edges, not to each edge: rows do not grow with the square of a list."""
+    import pyarrow as pa
+
+    from terralex.operators import meeting
+
+    starts = meeting.group_starts({0: 10, 1: meeting.GROUP, 2: 3 * meeting.GROUP}, 100)
+    assert starts.tolist() == [0, 100, 200, 233, 266]
+    batch = pa.RecordBatch.from_arrays([pa.array([list(range(300)), [1, 2], [250, 299, 7]], pa.list_(pa.int32()))], ["ids"])
+    dealt = [(g, len(x)) for b in meeting.dealt_lists(starts, [7])(iter([batch])) for g, x in zip(b.column("g").to_pylist(), b.column("ids").to_pylist())]
+    assert sorted(dealt) == [(0, 2), (0, 300), (1, 300), (2, 300), (3, 3), (3, 300), (4, 3), (4, 300)]
