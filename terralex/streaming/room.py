@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terralex.operators.ordered import page_after
+from terralex.operators.graph import compact_index
 from terralex.sources import sinks
-from terralex.staging import shared_dir
+from terralex.staging import shared_dir, stage
 from terralex.streaming import feed
 
 T = TypeVar("T")
@@ -69,17 +69,21 @@ class Room:
         return bool(done) and current()
 
     def history(self, room: str, current: Callable[[], bool]) -> bool:
-        """Hand on the room's rows page by page; False once another epoch has begun."""
-        rows, after = sinks.table(self.spark, self.path, self.schema).where(F.col("room") == room), None
-        while current():
-            # a page is small; a second reading would see rows that came meanwhile
-            page = page_after(rows, "key", after, self.page).collect()
-            if not page:
-                return current()
-            if current():
-                self.found(self.spark.createDataFrame(page, self.schema), False)
-            after = page[-1]["key"]
-        return False
+        """Hand on the room's rows page by page, in order of their keys; False once another epoch has begun.
+
+        The rows are staged once and numbered, so pages don't see what comes meanwhile, and none passes through the driver.
+        From the third on, a page is as large as all before it: their number grows with the logarithm of the rows.
+        """
+        if not current():
+            return False
+        rows = sinks.table(self.spark, self.path, self.schema).where(F.col("room") == room)
+        held = stage(compact_index(rows, "key", name="_n"), "history")
+        total, done = held.count(), 0
+        while current() and done < total:
+            upto = done + max(self.page, done)
+            self.found(held.where(F.col("_n").between(done, upto - 1)).drop("_n").select(*rows.columns), False)
+            done = upto
+        return current()
 
     def leave(self) -> None:
         self.epoch += 1

@@ -69,3 +69,21 @@ def test_room_retries_and_gives_up(spark):
     assert len(tries) == 3 and waits == [0.5, 1.0]
     assert retried(fails, wanted=lambda: False, sleep=waits.append) is None and len(tries) == 4
     assert retried(lambda: 7) == 7
+
+
+def test_history_stays_out_of_the_driver(spark, tmp_path):
+    """Pages are staged rows that the driver never holds, few even where there are many, and whole where a key has several rows."""
+    from terralex.streaming.room import Room
+
+    src = str(tmp_path / "in")
+    rows(spark, [("A", f"k{i // 3:04d}", "x", i % 60) for i in range(3000)]).repartition(7).write.parquet(src)
+    pages = []
+    assert Room(spark, src, lambda page, live: pages.append(page), page=10).history("A", lambda: True)
+    assert all("LocalRelation" not in p._jdf.queryExecution().toString() and "LogicalRDD" not in p._jdf.queryExecution().toString() for p in pages)
+    sizes = [p.count() for p in pages]
+    assert sizes[:4] == [10, 10, 20, 40] and sum(sizes) == 3000 and len(pages) == 10
+    keys = [sorted(r.key for r in p.collect()) for p in pages]
+    assert sum(keys, []) == sorted(f"k{i // 3:04d}" for i in range(3000))
+    # an epoch that ends in between ends the history
+    seen = []
+    assert Room(spark, src, lambda page, live: seen.append(1), page=10).history("A", lambda: len(seen) < 2) is False and len(seen) == 2
