@@ -136,3 +136,18 @@ def test_repair_leaves_a_trace_alone():
 
     for s in [w for w in WEIRD if w] + ["Ã©?", "? Ã©�", "Ã\x81", "â€œx", "Ãª?日"]:
         assert T.unmangled(s) == step_by_step(s), s
+
+
+def test_close_pairs_are_met_once(spark):
+    """Each pair comes from one key: nothing is left out, repeated or tested, also between different sides, with nulls, swaps,
+    repeated letters and signs beyond the basic plane; the join makes little more than the pairs."""
+    r = random.Random(9)
+    left = ["".join(r.choice("ab😀") for _ in range(r.randint(0, 5))) for _ in range(120)] + [None, "aab", "aba", "", "a"]
+    right = ["".join(r.choice("ab😀") for _ in range(r.randint(0, 5))) for _ in range(120)] + [None, "abb", "aba", "b"]
+    a, b = (spark.createDataFrame([(n,) for n in side], "name string") for side in (left, right))
+    got = sorted((x.a, x.b) for x in fuzzy.close_pairs(a, b, "name").collect())
+    assert got == sorted((x, y) for x in set(left) - {None} for y in set(right) - {None} if T.osa_distance(x, y) <= 1)
+    # running numbers: all but one sign is shared by ten, and no key by more than ten names of a side
+    numbers = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("name"))
+    keyed = fuzzy._keyed(numbers, "name", "a", True)
+    assert keyed.where("kind <> 0").groupBy("kind", "k").count().agg(F.max("count")).first()[0] <= 10
