@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,14 +165,26 @@ def simplified_line(points: list[tuple[float, float]], eps: float) -> list[tuple
     return [points[i] for i in sorted(keep)]
 
 
+def flat_simplified(lines: pa.Array, eps: float) -> pa.Array:
+    """``simplified_line`` of each line: one line at a time becomes Python's points, the batch and the result stay flat."""
+    missing, xs, ys, ends = [], array("d"), array("d"), array("i", [0])
+    for line in lines:
+        missing.append(not line.is_valid)
+        if line.is_valid:
+            points = line.values
+            for x, y in simplified_line(list(zip(points.field("x").to_pylist(), points.field("y").to_pylist(), strict=True)), eps):
+                xs.append(x)
+                ys.append(y)
+        ends.append(len(xs))
+    flat = pa.StructArray.from_arrays([pa.array(np.array(v, np.float64)) for v in (xs, ys)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), flat, mask=pa.array(missing, pa.bool_()))
+
+
 def simplify(line: Column, eps: float) -> Column:
     """Douglas-Peucker over an array of structs (x, y)."""
 
     @F.arrow_udf(LINE)
     def run(lines: pa.Array) -> pa.Array:
-        out = []
-        for line in lines.to_pylist():
-            out.append(None if line is None else [{"x": x, "y": y} for x, y in simplified_line([(p["x"], p["y"]) for p in line], eps)])
-        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        return flat_simplified(lines, eps)
 
     return run(line)

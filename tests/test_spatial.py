@@ -60,3 +60,25 @@ def test_sample_columns_may_have_any_names(spark):
     got = {(tuple(x)[:7], x.line_id): x.dist for x in found.collect()}
     want = {(row, l[0]): d for row in rows for l in lines if (d := on_segment(row[0], row[1], *l[1:])) <= 0.4}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_simplified_lines_stay_flat(spark):
+    """Lines of a batch are worked on one at a time: memory follows the batch's bytes, not Python objects for all its points."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from terralex.functions import geo
+
+    r = random.Random(1)
+    lines = [[(float(i), r.random()) for i in range(n)] for n in (0, 1, 2, 50, 3)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*lines, None])], "id int, line array<struct<x:double,y:double>>").coalesce(1)
+    got = {x.id: x.s for x in df.select("id", geo.simplify(F.col("line"), 0.3).alias("s")).collect()}
+    assert got[5] is None and all([tuple(p) for p in got[i]] == geo.simplified_line(v, 0.3) for i, v in enumerate(lines))
+    batch = pa.array([[{"x": float(i), "y": 0.0} for i in range(200)]] * 2000, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    tracemalloc.start()
+    made = geo.flat_simplified(batch, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 2000 and peak < 5_000_000
