@@ -242,14 +242,7 @@ def line_filter(spark, d):
     """Lines of documents that read like prose, without up to three weak leading ones, joined again in order. A document
     stays one row throughout, so nothing is shuffled."""
 
-    def scored(line):
-        density, lower, vowels = T.line_scores(line)
-        return F.struct(line.alias("line"), density.alias("density"), lower.alias("lower"), vowels.alias("score"))
-
-    good = F.filter(F.transform(F.split("text", "\n"), scored), lambda x: (x["density"] >= 0.6) & (x["lower"] >= 0.55) & (x["score"] >= 2))
-    strong = F.array_position(F.transform(F.col("good"), lambda x: x["score"] >= 4), True)
-    weak = F.least(F.lit(3), F.when(strong > 0, strong - 1).otherwise(F.size("good"))).cast("int")
-    kept = read(spark, d, "documents").select("doc_id", good.alias("good")).select("doc_id", F.slice("good", weak + 1, F.size("good"))["line"].alias("lines"))
+    kept = read(spark, d, "documents").select("doc_id", T.filtered_lines(F.col("text")).alias("lines"))
     return kept.where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("text_md5"))
 
 

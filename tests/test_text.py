@@ -151,3 +151,35 @@ def test_close_pairs_are_met_once(spark):
     numbers = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("name"))
     keyed = fuzzy._keyed(numbers, "name", "a", True)
     assert keyed.where("kind <> 0").groupBy("kind", "k").count().agg(F.max("count")).first()[0] <= 10
+
+
+def _plan(df):
+    return df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_line_filter_by_value(spark):
+    """No expression is interpreted per line, and lines are told by categories: ª is no lower-case letter, and a blank may be any."""
+    from terralex.plans import text_queries
+
+    assert "lambda" not in _plan(text_queries.line_filter(spark, "/root/testdata/sf0.001"))
+    good = "une rue ancienne mène à la place"
+    assert T.scored_lines(f"deux mots\nxx\n{good}\n\n## {good}") == [good, f"## {good}"]
+    assert T.scored_lines("les deux\nmots ici\nles rues\nune place") == ["une place"]
+    assert T.scored_lines("") == [] and T.scored_lines("ªªªªª une rue ancienne"[:12]) == [] and T.scored_lines(" \x85") == []
+
+
+def test_export_by_value(spark):
+    """No expression is interpreted per escape or note; blanks and line ends are Unicode's, case is ASCII's."""
+    assert "lambda" not in _plan(spark.range(1).select(T.clean_export(F.lit("a"))))
+    for s, want in (("[ Italique : a\x85b] c", "a c"), ("[ıtalique : a] b", "b"), ("_x00FF__x0041_a", "ÿ a"), ("a||__b", "a b")):
+        assert T.cleaned_export(s) == want and one(spark, s, T.clean_export) == want
+
+
+def test_panels_by_value(spark):
+    """No expression is interpreted per sentence, and a ratio makes no array of letters."""
+    from terralex.plans import text_queries
+
+    plan = _plan(text_queries.cleaned_panels(spark, "/root/testdata/sf0.001").select("calm", "strict", "panel"))
+    assert "lambda" not in plan and "regexp_count" not in plan and "regexp_extract_all" not in plan
+    assert "regexp_count" not in _plan(text_queries.shout_ratio(spark, "/root/testdata/sf0.001"))
+    assert one(spark, "ÇA VA. «ÉTÉ» ICI", T.calm) == "Ça va. «Été» ici" and one(spark, "«ÉTÉ».ICI", T.calm_strict) == "«été».Ici"
