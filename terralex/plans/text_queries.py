@@ -10,7 +10,7 @@ from terralex.functions import text as T
 from terralex.operators import fuzzy, resolve
 from terralex.operators.filters import readable
 from terralex.operators.graph import compact_index
-from terralex.operators.skew import hub_keys, looked_up
+from terralex.operators.skew import found_in, hub_keys, looked_up, with_keys
 from terralex.staging import stage
 
 
@@ -166,14 +166,10 @@ def known_words(spark, d):
     """Share of a document's words that the clean documents' vocabulary has."""
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     words = docs.select("doc_id", F.explode(T.plain_words(F.col("text"))).alias("w"))
-    sure = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    sure = with_keys(docs, labels.where("quality = 1"), "doc_id")
     clean = sure.select(F.explode(T.plain_words(F.col("text"), lower=True)).alias("w"))
     constants = docs.sparkSession.createDataFrame([(w,) for w in fixed.COMMON_FRENCH], "w string")
-    vocabulary = clean.union(constants).distinct().withColumn("known", F.lit(1))
-    # words are counted per document before they meet the vocabulary; words that most documents have meet it by broadcast
-    counts = stage(words.groupBy("doc_id", "w").agg(F.count("*").alias("n")), "words")
-    met = looked_up(counts, stage(vocabulary, "vocabulary"), "w", hub_keys(counts, "w"), "left")
-    found = met.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.coalesce("known", F.lit(0))).alias("hits"))
+    found = found_in(words, "doc_id", "w", clean.union(constants))
     return found.select("doc_id", "tokens", F.round(F.col("hits") / F.col("tokens"), 6).alias("ratio"), readable(F.col("tokens"), F.col("hits") / F.col("tokens")).alias("passes"))
 
 
