@@ -12,7 +12,7 @@ HUBS = 256
 HUB_ROWS = 100
 #: A value with more than 1 / COMMON of all rows is common; there are fewer than COMMON of them.
 COMMON = 1 << 18
-#: Keys that go to every task at most where rows are chosen by them: 64 MB of numbers.
+#: Keys that go to every task at most where rows are chosen by them.
 HELD = 1 << 21
 
 
